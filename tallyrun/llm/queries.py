@@ -27,8 +27,38 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media_iso import media_columns
+
+    return media_columns(table(spark, sf_dir, "documents"))
+
+
+def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repair_output import read_ids, write_ids
+
+    return read_ids(write_ids(table(spark, sf_dir, "documents")))
+
+
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hyperminhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_bpe, op5_quality_rules, op7_token_counts)}
+    return {f.__name__: f for f in (op2_packing, op3_media_columns, op4_bpe, op5_quality_rules, op6_token_output, op7_token_counts, op9_html_extraction, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
