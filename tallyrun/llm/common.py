@@ -68,7 +68,7 @@ def unstash(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, make: Callable[[], Callable], schema) -> DataFrame:
     """mapInArrow with a per-task worker: make() is called once in each task and returns RecordBatch -> RecordBatch(es)."""
     ship(df.sparkSession)
 

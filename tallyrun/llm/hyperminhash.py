@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_batches, ship, stash, unstash, utf8
@@ -358,3 +358,12 @@ def near_duplicates(docs: DataFrame, how: NearDupes | None = None, id_col: str =
     result = rows.select("doc_id", "n_shingles", "fp").join(of_fp, ["fp", "n_shingles"], "left")
     component = F.coalesce("component_id", "doc_id")
     return result.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def keep_one(docs: DataFrame, how: NearDupes | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, all columns unchanged, of one document of each component; of equal rows one stays."""
+    kept = near_duplicates(docs, how, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
+    rows = docs.join(kept, docs[id_col].cast("long").eqNullSafe(F.col("__kept")), "left_semi")
+    order = Window.partitionBy(id_col, "__text").orderBy(F.lit(1))
+    numbered = rows.withColumn("__text", F.xxhash64(text_col)).withColumn("__n", F.row_number().over(order))
+    return numbered.filter("__n = 1").select(*[numbered[c] for c in docs.columns])

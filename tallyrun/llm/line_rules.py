@@ -133,3 +133,16 @@ def clean_lines(docs: DataFrame, rules: LineRules | None = None, id_col: str = "
         return work
 
     return map_batches(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")), make, SCHEMA)
+
+
+def keep_clean(docs: DataFrame, rules: LineRules | None = None, text_col: str = "text") -> DataFrame:
+    """The rows, all columns unchanged, that the rules keep."""
+    rules = rules or LineRules()
+
+    def make():
+        def work(batch):
+            yield batch.filter(pa.array([judge(raw or b"", rules)[6] for raw in utf8(batch, text_col)]))
+
+        return work
+
+    return map_batches(docs, make, docs.schema)

@@ -27,6 +27,12 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_qda import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -45,6 +51,12 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_ids(write_ids(table(spark, sf_dir, "documents")))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid_crf import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_extract import extract
 
@@ -58,7 +70,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op3_media_columns, op4_bpe, op5_quality_rules, op6_token_output, op7_token_counts, op9_html_extraction, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_quality, op2_packing, op3_media_columns, op4_bpe, op5_quality_rules, op6_token_output, op7_token_counts, op8_language_id, op9_html_extraction, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
