@@ -219,5 +219,5 @@ def _worker(path: str) -> BacktrackingBPE:
                 out.append((np.array(ids, "<u4").tobytes(), ",".join(map(str, ids))))
             return out
 
-        bpe.units = UnitCache(values, limit=150_000)
+        bpe.units = UnitCache(values, limit=150_000, split=False)
     return _WORKERS[path]

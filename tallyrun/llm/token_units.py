@@ -9,11 +9,14 @@ such blanks and newlines splits there. Any other text is one unit.
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from collections.abc import Callable, Sequence
 
 _PAIRS = ("  ", "\n\n", " \n", "\n ")
 _EDGE = (" ", "\n")
+#: a blank or none and letters, then punctuation without the apostrophe, which opens contractions
+_WORD_AND_TAIL = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]+)")
 
 
 def plain_spacing(text: str) -> bool:
@@ -39,23 +42,54 @@ def spaced_units(text: str) -> list[str]:
 
 
 class UnitCache:
-    """unit -> value, bounded: at `limit` entries it starts again."""
+    """unit -> value, bounded: two generations of up to `limit` units; what the older one still serves moves on.
 
-    def __init__(self, encode: Callable[[Sequence[str]], Sequence], limit: int = 250_000, longest: int = 256):
-        self.encode, self.limit, self.longest, self.known = encode, limit, longest, {}
+    A unit that is a plain word and a run of ASCII punctuation is the sum of the two, as no pre-token holds both;
+    so a word is encoded once, whatever punctuation follows it.
+    """
+
+    def __init__(self, encode: Callable[[Sequence[str]], Sequence], limit: int = 250_000, longest: int = 256, split: bool = True):
+        self.encode, self.limit, self.longest, self.split, self.known, self.older = encode, limit, longest, split, {}, {}
 
     def values(self, units: list[str]) -> list:
         if len(self.known) > self.limit:
-            self.known.clear()
-        get = self.known.get
-        found = list(map(get, units))
+            self.known, self.older = {}, self.known
+        found = list(map(self.known.get, units))
         if None in found:
-            missing = list({u for u, v in zip(units, found, strict=True) if v is None})
-            new = dict(zip(missing, self.encode(missing), strict=True))
+            new = self._missing({u for u, v in zip(units, found, strict=True) if v is None})
             found = [new[u] if v is None else v for u, v in zip(units, found, strict=True)]
-            self.known.update((u, v) for u, v in new.items() if len(u) <= self.longest)
         return found
 
+    def _missing(self, units: set[str]) -> dict:
+        new, whole, parts = {}, {}, []
+        for u in units:
+            v = self.older.get(u)
+            if v is not None:
+                new[u] = v
+            elif self.split and (m := _WORD_AND_TAIL.fullmatch(u)):
+                parts.append((u, m[1], m[2]))
+                whole[m[1]] = whole[m[2]] = None
+            else:
+                whole[u] = None
+        unknown = []
+        for u in whole:
+            v = new.get(u)
+            v = self.known.get(u) if v is None else v
+            v = self.older.get(u) if v is None else v
+            if v is None:
+                unknown.append(u)
+            else:
+                new[u] = v
+        new.update(zip(unknown, self.encode(unknown), strict=True))
+        for u, a, b in parts:
+            new[u] = self.join(new[a], new[b])
+        self.known.update((u, v) for u, v in new.items() if len(u) <= self.longest)
+        return new
+
+    @staticmethod
+    def join(a, b):
+        return a + b
+
 
 def library_encoder(path: str) -> Callable[[Sequence[str]], list[bytes]]:
     """Ids of each unit by the tokenizers library, packed as little-endian unsigned 16- or 32-bit integers."""
