@@ -18,15 +18,15 @@ from ..operators import chain
 from ..operators import features as f
 from .planner import Stream, feature_table
 
-DIGITS = 6
+DIGITS, SHIFT = 6, 1e-9
 WEEK = 7 * 86_400_000
 HOUR = 3_600_000
 #: latitude and longitude made from the events, the same way in both engines
 LAT_SQL = "(CAST(props->>'$.k' AS DOUBLE) - 50) * 1.5"
 LON_SQL = "value - 180 * floor(value / 180)"
 #: events with time, order, category, place and the query time
-EVENTS_SQL = f"""e AS (SELECT *, epoch_ms(ts) AS t, {LAT_SQL} AS lat, {LON_SQL} AS lon, props->>'$.k' AS k,
- event_type = 'click' AS hit, (SELECT max(epoch_ms(ts)) FROM events) AS now FROM events)"""
+EVENTS_SQL = f"""e AS (SELECT *, epoch_us(ts) // 1000 AS t, {LAT_SQL} AS lat, {LON_SQL} AS lon, props->>'$.k' AS k,
+ event_type = 'click' AS hit, (SELECT max(epoch_us(ts) // 1000) FROM events) AS now FROM events)"""
 
 
 def events(spark: SparkSession, sf_dir: str) -> Stream:
@@ -36,8 +36,8 @@ def events(spark: SparkSession, sf_dir: str) -> Stream:
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    """Doubles rounded, and -0.0 as 0.0, as both engines must agree."""
-    return df.select(*[(F.round(F.col(c), DIGITS) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    """Doubles rounded as both engines must: a small shift takes ties and -0.0 out of the way."""
+    return df.select(*[F.round(F.col(c) + SHIFT, DIGITS).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 CLICK = col("event_type") == "click"
@@ -61,7 +61,7 @@ def per_user(name: str, feature: Feature, sql: str, shape: Callable | None = Non
 
 
 def r6(x: str) -> str:
-    return f"round({x}, {DIGITS}) + 0.0"
+    return f"round(({x}) + {SHIFT}, {DIGITS})"
 
 
 def active(span: int) -> str:
@@ -100,7 +100,7 @@ def _core() -> None:
         entropy = f"""c AS (SELECT user_id, event_type, count(*) AS n FROM e WHERE {cond} GROUP BY ALL),
  p AS (SELECT user_id, n / sum(n) OVER (PARTITION BY user_id) AS p FROM c),
  h AS (SELECT user_id, -sum(p * log2(p)) AS h FROM p GROUP BY user_id)
- SELECT u.user_id, round(coalesce(greatest(h.h, 0.0), 0.0), {DIGITS}) + 0.0 AS feature FROM (SELECT DISTINCT user_id FROM e) u LEFT JOIN h USING (user_id)"""
+ SELECT u.user_id, {r6('coalesce(greatest(h.h, 0.0), 0.0)')} AS feature FROM (SELECT DISTINCT user_id FROM e) u LEFT JOIN h USING (user_id)"""
         per_user(f"agg_entropy{kind}", f.entropy("event_type", **a), "")
         _SQL[f"agg_entropy{kind}"] = f"WITH {EVENTS_SQL}, {entropy}"
     per_user("agg_ratio", f.ratio(where=CLICK), r6("count(*) FILTER (WHERE hit) / nullif(count(*), 0)"))
@@ -173,9 +173,9 @@ def _decay() -> None:
  l AS (SELECT user_id, arg_max(m2, r) AS m2, arg_max(mean, r) AS mean, arg_max(value, r) AS v FROM x GROUP BY user_id)"""
     recursive = EVENTS_SQL
     per_user("agg_ewvar", f.ewvar("value", half_life="24h"), "")
-    _SQL["agg_ewvar"] = f"WITH RECURSIVE {recursive}, {fold} SELECT user_id, round(greatest(m2, 0.0), {DIGITS}) + 0.0 AS feature FROM l"
+    _SQL["agg_ewvar"] = f"WITH RECURSIVE {recursive}, {fold} SELECT user_id, {r6('greatest(m2, 0.0)')} AS feature FROM l"
     per_user("agg_ew_zscore", f.ew_zscore("value", half_life="24h"), "")
-    _SQL["agg_ew_zscore"] = f"WITH RECURSIVE {recursive}, {fold} SELECT user_id, CASE WHEN m2 > 0 THEN round((v - mean) / sqrt(m2), {DIGITS}) + 0.0 END AS feature FROM l"
+    _SQL["agg_ew_zscore"] = f"WITH RECURSIVE {recursive}, {fold} SELECT user_id, {r6('CASE WHEN m2 > 0 THEN (v - mean) / sqrt(m2) END')} AS feature FROM l"
     per_user("agg_decayed_sum", f.decayed_sum("value", half_life="24h"), "")
     _SQL["agg_decayed_sum"] = f"WITH {EVENTS_SQL}, {gaps} SELECT user_id, {r6(f'sum(value * exp(-{rate} * (tl - t)))')} AS feature FROM g GROUP BY user_id"
     per_user("agg_decayed_count", f.decayed_count(half_life="24h"), "")
@@ -217,7 +217,7 @@ def _buffers() -> None:
  SELECT u.user_id, coalesce(string_agg(k2 || '=' || n, ',' ORDER BY k2), '') AS feature FROM (SELECT DISTINCT user_id FROM e) u LEFT JOIN c USING (user_id) GROUP BY u.user_id"""
     per_user("agg_seasonal_deviation", f.seasonal_deviation("value"), "")
     _SQL["agg_seasonal_deviation"] = f"""WITH {EVENTS_SQL}, s AS (SELECT *, var_samp(value) OVER h AS v, avg(value) OVER h AS m, row_number() OVER (PARTITION BY user_id ORDER BY t DESC, event_id DESC) AS b FROM e WINDOW h AS (PARTITION BY user_id, (t // {HOUR}) % 24))
- SELECT user_id, CASE WHEN v > 0 THEN round((value - m) / sqrt(v), {DIGITS}) + 0.0 END AS feature FROM s WHERE b = 1"""
+ SELECT user_id, {r6('CASE WHEN v > 0 THEN (value - m) / sqrt(v) END')} AS feature FROM s WHERE b = 1"""
     shares = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda s: F.concat(s["key"], F.lit("="), F.format_string("%.4f", s["value"]))), ",")
     per_user("agg_event_type_mix", f.event_type_mix("event_type"), "", shares)
     per_user("agg_event_type_mix_categories", f.event_type_mix("event_type", categories=["click", "view"]), "", shares)
@@ -243,10 +243,10 @@ def _places() -> None:
     at = {"lat": "lat", "lon": "lon"}
     hops = f"g AS (SELECT *, lag(lat) OVER ({W}) AS pa, lag(lon) OVER ({W}) AS po, lag(t) OVER ({W}) AS pt FROM e), h AS (SELECT *, {_hav('pa', 'po', 'lat', 'lon')} AS km FROM g)"
     # lat and lon come from doubles, so six digits of kilometres are kept, three of velocities that divide by small gaps
-    per_user("agg_geo_velocity", f.geo_velocity(**at), "", lambda c: F.round(c, 3))
-    _SQL["agg_geo_velocity"] = f"WITH {EVENTS_SQL}, {hops} SELECT user_id, round(coalesce(max(km / ((t - pt) / 3600000.0)) FILTER (WHERE t > pt), 0.0), 3) + 0.0 AS feature FROM h GROUP BY user_id"
-    per_user("agg_geo_distance", f.geo_distance(**at), "", lambda c: F.round(c, 3))
-    _SQL["agg_geo_distance"] = f"WITH {EVENTS_SQL}, {hops} SELECT user_id, round(coalesce(sum(km), 0.0), 3) + 0.0 AS feature FROM h GROUP BY user_id"
+    per_user("agg_geo_velocity", f.geo_velocity(**at), "", lambda c: F.round(c + SHIFT, 3))
+    _SQL["agg_geo_velocity"] = f"WITH {EVENTS_SQL}, {hops} SELECT user_id, round(coalesce(max(km / ((t - pt) / 3600000.0)) FILTER (WHERE t > pt), 0.0) + 1e-9, 3) AS feature FROM h GROUP BY user_id"
+    per_user("agg_geo_distance", f.geo_distance(**at), "", lambda c: F.round(c + SHIFT, 3))
+    _SQL["agg_geo_distance"] = f"WITH {EVENTS_SQL}, {hops} SELECT user_id, round(coalesce(sum(km), 0.0) + 1e-9, 3) AS feature FROM h GROUP BY user_id"
     per_user("agg_geo_spread", f.geo_spread(**at), r6("CASE WHEN count(*) > 1 THEN sqrt(var_pop(lat) * 111.32 * 111.32 + var_pop(lon) * pow(111.32 * cos(radians(avg(lat))), 2)) END"))
     per_user("agg_distance_from_home", f.distance_from_home(**at, samples=10), "")
     _SQL["agg_distance_from_home"] = f"""WITH {EVENTS_SQL}, {_ranked('true')}, z AS (SELECT user_id, avg(lat) FILTER (WHERE b <= 10) AS a, avg(lon) FILTER (WHERE b <= 10) AS o, max(lat) FILTER (WHERE b = 1) AS x, max(lon) FILTER (WHERE b = 1) AS y FROM m GROUP BY user_id)
