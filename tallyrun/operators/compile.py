@@ -678,7 +678,7 @@ def distance_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     """Great-circle distance by the haversine."""
     dlat, dlon = F.radians(lat2 - lat1), F.radians(lon2 - lon1)
     a = F.pow(F.sin(dlat / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(dlon / 2), 2)
-    a = F.least(F.lit(1.0), F.greatest(F.lit(0.0), a))
+    a = F.when(a.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), a)))  # least and greatest pass over nulls
     return EARTH_KM * 2 * F.atan2(F.sqrt(a), F.sqrt(1 - a))
 
 
