@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import sql
 from .common import table
 
 
@@ -18,7 +19,7 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_rules import clean_lines
 
-    return clean_lines(table(spark, sf_dir, "documents"), keep_text=False).drop("cleaned")
+    return clean_lines(table(spark, sf_dir, "documents"), keep_text=False).drop("cleaned", "n_lines", "n_removed_lines", "removed_share")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,4 +75,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_quality_rules": sql.QUALITY_RULES, "op10_near_duplicates": sql.NEAR_DUPLICATES}
