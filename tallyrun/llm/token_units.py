@@ -8,6 +8,7 @@ such blanks and newlines splits there. Any other text is one unit.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -15,6 +16,9 @@ from collections.abc import Callable, Sequence
 
 _PAIRS = ("  ", "\n\n", " \n", "\n ")
 _EDGE = (" ", "\n")
+#: one pre-token each: letters, with or without a blank before them (dotted capital I changes its length when lowered)
+_WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+")
+_BARE_WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-įı-ɏ]+")
 #: a blank or none and letters, then punctuation without the apostrophe, which opens contractions
 _WORD_AND_TAIL = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]+)")
 
@@ -48,51 +52,68 @@ class UnitCache:
     so a word is encoded once, whatever punctuation follows it.
     """
 
-    def __init__(self, encode: Callable[[Sequence[str]], Sequence], limit: int = 250_000, longest: int = 256, split: bool = True):
+    def __init__(self, encode: Callable[[Sequence[str]], Sequence], limit: int = 500_000, longest: int = 256, split: bool = True):
         self.encode, self.limit, self.longest, self.split, self.known, self.older = encode, limit, longest, split, {}, {}
 
     def values(self, units: list[str]) -> list:
         if len(self.known) > self.limit:
             self.known, self.older = {}, self.known
-        found = list(map(self.known.get, units))
-        if None in found:
-            new = self._missing({u for u, v in zip(units, found, strict=True) if v is None})
-            found = [new[u] if v is None else v for u, v in zip(units, found, strict=True)]
-        return found
-
-    def _missing(self, units: set[str]) -> dict:
-        new, whole, parts = {}, {}, []
+        missing = set(units).difference(self.known)
+        if missing:
+            long = self._fill(missing)
+            if long:
+                return [long[u] if u in long else self.known[u] for u in units]
+        return list(map(self.known.__getitem__, units))
+
+    def _fill(self, units: set[str]) -> dict:
+        """Make the units known; returns those too long to keep."""
+        known, older, parts, unknown = self.known, self.older, [], []
         for u in units:
-            v = self.older.get(u)
+            v = older.get(u)
             if v is not None:
-                new[u] = v
-            elif self.split and (m := _WORD_AND_TAIL.fullmatch(u)):
-                parts.append((u, m[1], m[2]))
-                whole[m[1]] = whole[m[2]] = None
-            else:
-                whole[u] = None
-        unknown = []
-        for u in whole:
-            v = new.get(u)
-            v = self.known.get(u) if v is None else v
-            v = self.older.get(u) if v is None else v
-            if v is None:
+                known[u] = v
+                continue
+            m = _WORD_AND_TAIL.fullmatch(u) if self.split else None
+            if m is None:
                 unknown.append(u)
-            else:
-                new[u] = v
-        new.update(zip(unknown, self.encode(unknown), strict=True))
+                continue
+            parts.append((u, m[1], m[2]))
+            for half in m.groups():
+                if half not in known and half not in units:
+                    if half in older:
+                        known[half] = older[half]
+                    else:
+                        unknown.append(half)
+        unknown = list(dict.fromkeys(unknown))
+        new = dict(zip(unknown, self.encode(unknown), strict=True))
+        long = {u: v for u, v in new.items() if len(u) > self.longest}
+        known.update(new)
         for u, a, b in parts:
-            new[u] = self.join(new[a], new[b])
-        self.known.update((u, v) for u, v in new.items() if len(u) <= self.longest)
-        return new
+            known[u] = self.join(known[a], known[b])
+            if len(u) > self.longest:
+                long[u] = known[u]
+        for u in long:
+            del known[u]
+        return long
 
     @staticmethod
     def join(a, b):
         return a + b
 
 
+def byte_alphabet() -> dict[str, int]:
+    """The printable stand-in of each byte in byte-level vocabularies: printable Latin-1 is itself, the rest follow from 256."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
 def library_encoder(path: str) -> Callable[[Sequence[str]], list[bytes]]:
-    """Ids of each unit by the tokenizers library, packed as little-endian unsigned 16- or 32-bit integers."""
+    """Ids of each unit by the tokenizers library, packed as little-endian unsigned 16- or 32-bit integers.
+
+    A plain word is one pre-token of a byte-level tokenizer, so it goes to the library's model at once (lower-cased
+    if the tokenizer lower-cases); any other unit goes through the library's whole chain.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -100,7 +121,30 @@ def library_encoder(path: str) -> Callable[[Sequence[str]], list[bytes]]:
     t.no_truncation()
     t.no_padding()
     code = id_code(t.get_vocab_size(with_added_tokens=True))
-    return lambda units: [array(code, e.ids).tobytes() for e in t.encode_batch_fast(list(units), add_special_tokens=False)]
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    kinds = [k["type"] for k in (spec.get("normalizer") or {}).get("normalizers", [])]
+    pre = spec.get("pre_tokenizer") or {}
+    byte_level = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and spec.get("normalizer") is None
+    lowered = kinds == ["NFC", "Replace", "Lowercase"] and [p["type"] for p in pre.get("pretokenizers", [])] == ["Split", "ByteLevel"]
+    word, table = (_WORD if byte_level else _BARE_WORD if lowered else None), {b: c for c, b in byte_alphabet().items()}
+
+    def encode(units: Sequence[str]) -> list[bytes]:
+        out: list[bytes | None] = [None] * len(units)
+        rest = []
+        for i, u in enumerate(units):
+            if word is not None and word.fullmatch(u):
+                if lowered:
+                    u = u.lower()
+                u = "\u0120" + u[1:] if u.isascii() and u[0] == " " else u if u.isascii() else u.encode().decode("latin-1").translate(table)
+                out[i] = array(code, [x.id for x in t.model.tokenize(u)]).tobytes()
+            else:
+                rest.append(i)
+        for i, e in zip(rest, t.encode_batch_fast([units[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = array(code, e.ids).tobytes()
+        return out
+
+    return encode
 
 
 def id_code(vocab: int) -> str:
