@@ -62,7 +62,7 @@ def step_of(tag: str, raw: str) -> tuple[str, bool]:
 
 def blocks(page: str):
     """(node, text, link characters) of each block in page order; text has references decoded and single blanks."""
-    root = node = Node("", "", None, False, False)
+    root = node = Node("root", "root", None, False, False)
     stack, pieces, links, at = [root], [], 0, 0
 
     def close():
@@ -144,7 +144,7 @@ def blocks(page: str):
         while stack[-1].tag in INLINE:
             stack.pop()
         top = stack[-1]
-        node = Node(tag, f"{top.path}>{step}" if top.path else step, top, top.aside or aside, False)
+        node = Node(tag, f"{top.path}>{step}", top, top.aside or aside, False)
         if not m[3].endswith("/"):
             stack.append(node)
         else:
@@ -160,7 +160,7 @@ def score(page: str) -> list[tuple[Node, str]]:
         found.append((node, text))
         gain = max(0, len(text) - 2 * links)
         n = node.parent if node.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "li", "dd", "dt") else node
-        while n is not None and n.tag:
+        while n is not None:
             n.score += gain
             gain *= DECAY
             n = n.parent
@@ -173,7 +173,7 @@ def best_paths(found: list[tuple[Node, str]]) -> dict[str, float]:
     seen = set()
     for node, _ in found:
         n = node
-        while n is not None and n.tag and id(n) not in seen:
+        while n is not None and id(n) not in seen:
             seen.add(id(n))
             if n.score:
                 votes[n.path] += n.score * BONUS.get(n.tag, 1.0)
@@ -197,21 +197,17 @@ def host_of(url: str | None) -> str:
 
 
 def page_votes(pages: DataFrame) -> DataFrame:
-    """(host, path, votes): each page votes with 1, split over its containers in proportion to their scores."""
+    """(host, path, votes): each page has one vote, for the path of its best container."""
 
     def make():
         def work(batch):
-            sums: dict[tuple[str, str], float] = defaultdict(float)
+            sums: dict[tuple[str, str], int] = defaultdict(int)
             for url, page in zip(strings(batch, "url"), strings(batch, "html"), strict=True):
-                votes = best_paths(score(page or ""))
-                best = top_of(votes)
+                best = top_of(best_paths(score(page or "")))
                 if best is not None:
-                    host, most = host_of(url), votes[best]
-                    for path, v in votes.items():
-                        if v >= 0.25 * most:
-                            sums[host, path] += v / most
+                    sums[host_of(url), best] += 1
             keys = sorted(sums)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([round(1e6 * sums[k]) for k in keys], pa.int64())], names=["host", "path", "votes"])
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([sums[k] for k in keys], pa.int64())], names=["host", "path", "votes"])
 
         return work
 
