@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import RegistrationError
-from ..functions.expr import ExprError, cast_column, compile_expr, condition
+from ..functions.expr import ExprError, cast_column, compile_expr
 from ..functions.types import OF_CAST, SPARK
 
 #: columns of the engine's own, which no operator touches
@@ -54,10 +54,10 @@ def _q(name: str):
 
 
 def _filter(df, e, schema, own):
-    _, kind = compile_expr(e, schema)
+    c, kind = compile_expr(e, schema)
     if kind != "bool":
         raise _bad(f"filter takes bool, got {kind}")
-    return df.filter(condition(e, schema)), schema
+    return df.filter(c), schema  # null drops the row as false does, and the bare condition reaches the scan
 
 
 def _select(df, cols, schema, own):

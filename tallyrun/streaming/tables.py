@@ -59,11 +59,14 @@ def stream_table(events: DataFrame, table: Table, time: str, ties: tuple[str, ..
     df = df.withColumns({hits[text]: condition(e, schema) for text, e in wheres}) if wheres else df
     features, cold = table.features, duration_ms(table.root.cold_after)
     fields = sorted({n for f in features.values() for n in (f.field, f.params.get("lat"), f.params.get("lon")) if n})
-    df = df.select(*keys, T, SEQ, *[F.col(n).alias(f"_tr_f_{n}") for n in fields], *hits.values())
+    # pandas has one NaN for a missing number and for a number that is none, so nulls get flags
+    nulls = [F.col(n).isNull().alias(f"_tr_n_{n}") for n in fields]
+    df = df.select(*keys, T, SEQ, *[F.col(n).alias(f"_tr_f_{n}") for n in fields], *nulls, *hits.values())
     kinds = {n: schema[n] for n in fields}
 
-    def value(n, v):
-        if v is None or v is pd.NaT or kinds[n] != "f64" and isinstance(v, float) and math.isnan(v):
+    def value(n, r):
+        v = r[f"_tr_f_{n}"]
+        if r[f"_tr_n_{n}"]:
             return None
         return {"i64": int, "f64": float, "bool": bool}.get(kinds[n], lambda x: x)(v)
 
@@ -74,7 +77,7 @@ def stream_table(events: DataFrame, table: Table, time: str, ties: tuple[str, ..
             now = int(r[T])
             if folds is None or cold is not None and last is not None and now - last > cold:
                 folds, seen = {n: fold_of(f) for n, f in features.items()}, 0
-            row = {n: value(n, r[f"_tr_f_{n}"]) for n in fields}
+            row = {n: value(n, r) for n in fields}
             for n, f in features.items():
                 folds[n].update(now, input_of(f, row), f.where is None or bool(r[hits[str(f.where)]]))
             last, seen = now, seen + 1
