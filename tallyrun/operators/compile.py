@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,29 +33,42 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+@dataclass(frozen=True)
+class Ordered:
+    """A result over an entity's events: up to this one, before it, or all of them; `group` narrows the entity.
+
+    The planner computes it with a window, or, where entities are split into parts of time, from windows within
+    parts and what earlier parts carry over.
+    """
+
+    kind: str  # last_before, sum_upto, count_upto, max_upto, moments_before, max_earlier, and sum_, count_, min_, max_, moments_ with _all
+    value: Column
+    group: tuple[str, ...] = ()
+
+
 class Plan:
     """Columns by level, aggregates, results and side plans of one table."""
 
     def __init__(self, keys: list[str], schema: dict[str, str]):
         self.keys, self.schema = keys, schema
-        self.levels: list[dict[str, Column]] = [{} for _ in range(8)]
+        self.levels: list[dict[str, Column | Ordered]] = [{} for _ in range(9)]
         self.names: dict[tuple, str] = {}
         self.aggs: dict[str, Column] = {}
         self.sides: list[tuple[str, Callable[[DataFrame], DataFrame]]] = []
         self.results: dict[str, Column] = {}
-        order = Window.partitionBy(*keys).orderBy(T, SEQ)
-        self.before = order.rowsBetween(Window.unboundedPreceding, -1)
-        self.upto = order.rowsBetween(Window.unboundedPreceding, 0)
-        self.whole = Window.partitionBy(*keys)
         self.arrival = F.struct(T, SEQ)
 
-    def column(self, level: int, key: tuple, make: Callable[[], Column]) -> Column:
-        """A column of a level; equal keys share one."""
+    def column(self, level: int, key: tuple, make: Callable[[], Column | Ordered]) -> Column:
+        """A column of a level, made from columns of lower ones; equal keys share one."""
         if key not in self.names:
             self.names[key] = f"_tr_c{len(self.names)}"
             self.levels[level][self.names[key]] = make()
         return F.col(self.names[key])
 
+    def named(self, c: Column) -> str:
+        """The name of a column that column() gave."""
+        return next(n for n in self.names.values() if str(F.col(n)) == str(c))
+
     def total(self, key: tuple, make: Callable[[], Column]) -> Column:
         """An aggregate; equal keys share one."""
         key = ("agg", *key)
@@ -125,15 +139,15 @@ class Plan:
     def previous(self, x: Column, what: str = "t") -> Column:
         """Time or value of the last event before this one where x is not null (null if x is null here)."""
         value = F.col(T) if what == "t" else x
-        return self.column(2, ("previous", str(x), what), lambda: F.when(x.isNotNull(), F.last(F.when(x.isNotNull(), value), ignorenulls=True).over(self.before)))
+        return F.when(x.isNotNull(), self.column(2, ("previous", str(x), what), lambda: Ordered("last_before", F.when(x.isNotNull(), value))))
 
     def rank(self, x: Column) -> Column:
         """1 for the first event where x is not null, and so on."""
-        return self.column(2, ("rank", str(x)), lambda: F.when(x.isNotNull(), F.count(x).over(self.upto)))
+        return F.when(x.isNotNull(), self.column(2, ("rank", str(x)), lambda: Ordered("count_upto", x)))
 
     def rank_back(self, x: Column) -> Column:
         """1 for the latest event where x is not null, and so on."""
-        all_of = self.column(2, ("size", str(x)), lambda: F.count(x).over(self.whole))
+        all_of = self.column(2, ("size", str(x)), lambda: Ordered("count_all", x))
         return all_of - self.rank(x) + 1
 
     def latest(self, x: Column, given: Column | None = None) -> Column:
@@ -396,8 +410,8 @@ def _first_seen_in_window(p, f):
 def _run(p, f, of: bool) -> Column:
     """Length of the run of (non-)matches that ends at this event."""
     hit = p.where(f) if of else ~p.where(f)
-    place = p.column(2, ("place",), lambda: F.count(F.lit(1)).over(p.upto))
-    broken = p.column(3, ("broken", str(f.where), of), lambda: F.max(F.when(~hit, place)).over(p.upto))
+    place = p.column(2, ("place",), lambda: Ordered("count_upto", F.lit(1)))
+    broken = p.column(3, ("broken", str(f.where), of), lambda: Ordered("max_upto", F.when(~hit, place)))
     return p.column(4, ("run", str(f.where), of), lambda: F.when(hit, place - F.coalesce(broken, F.lit(0))).otherwise(F.lit(0)))
 
 
@@ -432,13 +446,13 @@ def _ewma(p, f):
     key = (str(x), rate)
     left = p.column(3, ("ewma_left", *key), lambda: F.when(x.isNotNull(), F.when(gap.isNull(), 0.0).when(gap > 0, -rate * gap).otherwise(math.log(0.5))))
     weight = p.column(3, ("ewma_weight", *key), lambda: F.when(gap.isNull(), 1.0).when(gap > 0, -F.expm1(-rate * gap)).otherwise(0.5))
-    sofar = p.column(4, ("ewma_sofar", *key), lambda: F.sum(left).over(p.upto))
-    all_of = p.column(4, ("ewma_all", *key), lambda: F.sum(left).over(p.whole))
+    sofar = p.column(4, ("ewma_sofar", *key), lambda: Ordered("sum_upto", left))
+    all_of = p.column(4, ("ewma_all", *key), lambda: Ordered("sum_all", left))
     return p.total(("ewma", *key), lambda: F.sum(weight * x * F.exp(all_of - sofar)))
 
 
 def _last_time(p, x: Column) -> Column:
-    return p.column(2, ("last_time", str(x)), lambda: F.max(F.when(x.isNotNull(), F.col(T))).over(p.whole))
+    return p.column(2, ("last_time", str(x)), lambda: Ordered("max_all", F.when(x.isNotNull(), F.col(T))))
 
 
 def _ew_moments(p, f) -> tuple[Column, Column]:
@@ -453,15 +467,15 @@ def _ew_moments(p, f) -> tuple[Column, Column]:
     span = 400.0 / rate
     gap = F.col(T) - p.previous(x)
     weight = p.column(3, ("ew_weight", *key), lambda: F.when(x.isNotNull(), F.when(gap.isNull(), 1.0).when(gap > 0, -F.expm1(-rate * gap)).otherwise(0.0)))
-    first = p.column(2, ("first_time", str(x)), lambda: F.min(F.when(x.isNotNull(), F.col(T))).over(p.whole))
+    first = p.column(2, ("first_time", str(x)), lambda: Ordered("min_all", F.when(x.isNotNull(), F.col(T))))
     part = p.column(3, ("ew_part", *key), lambda: F.when(x.isNotNull(), F.floor((F.col(T) - first) / span).cast("long")))
     inside = p.column(3, ("ew_inside", *key), lambda: rate * (F.col(T) - first) - 400.0 * F.floor((F.col(T) - first) / span))
-    stretch = Window.partitionBy(*p.keys, part).orderBy(T, SEQ).rowsBetween(Window.unboundedPreceding, 0)
-    own = p.column(4, ("ew_own", *key), lambda: F.when(x.isNotNull(), F.sum(weight * x * F.exp(inside)).over(stretch) * F.exp(-inside)))
-    earlier = Window.partitionBy(*p.keys).orderBy(part).rangeBetween(Window.unboundedPreceding, -1)
-    ended = p.column(5, ("ew_ended", *key), lambda: F.max(F.when(x.isNotNull(), F.struct(F.col(T).alias("t"), F.col(SEQ).alias("s"), own.alias("v")))).over(earlier))
-    mean = p.column(6, ("ew_mean", *key), lambda: F.when(x.isNotNull(), own + F.coalesce(ended["v"] * F.exp(-rate * (F.col(T) - ended["t"])), F.lit(0.0))))
-    before = p.column(7, ("ew_before", *key), lambda: F.last(mean, ignorenulls=True).over(p.before))
+    stretch = (p.named(part),)
+    grown = p.column(4, ("ew_grown", *key), lambda: Ordered("sum_upto", weight * x * F.exp(inside), stretch))
+    own = p.column(5, ("ew_own", *key), lambda: F.when(x.isNotNull(), grown * F.exp(-inside)))
+    ended = p.column(6, ("ew_ended", *key), lambda: Ordered("max_earlier", F.when(x.isNotNull(), F.struct(F.col(T).alias("t"), F.col(SEQ).alias("s"), own.alias("v"))), stretch))
+    mean = p.column(7, ("ew_mean", *key), lambda: F.when(x.isNotNull(), own + F.coalesce(ended["v"] * F.exp(-rate * (F.col(T) - ended["t"])), F.lit(0.0))))
+    before = p.column(8, ("ew_before", *key), lambda: Ordered("last_before", mean))
     late = _last_time(p, x)
     gap_of_mean = x - F.coalesce(before, x)
     second = p.total(("ew_second", *key), lambda: F.sum(weight * (1 - weight) * gap_of_mean * gap_of_mean * F.exp(-rate * (late - F.col(T)))))
@@ -563,10 +577,8 @@ def _trend_residual(p, f):
 @op("outlier_count")
 def _outlier_count(p, f):
     x = p.number(f)
-    mean = p.column(2, ("prior_mean", str(x)), lambda: F.avg(x).over(p.before))
-    var = p.column(2, ("prior_var", str(x)), lambda: F.var_samp(x).over(p.before))
-    n = p.column(2, ("prior_n", str(x)), lambda: F.count(x).over(p.before))
-    far = (n >= 5) & (var > 0) & (F.abs(x - mean) > f.params.get("sigma", 3.0) * F.sqrt(F.when(var > 0, var)))
+    prior = p.column(2, ("prior", str(x)), lambda: Ordered("moments_before", x))
+    far = (prior["n"] >= 5) & (prior["var"] > 0) & (F.abs(x - prior["mean"]) > f.params.get("sigma", 3.0) * F.sqrt(F.when(prior["var"] > 0, prior["var"])))
     return p.total(("outliers", str(x), f.params.get("sigma", 3.0)), lambda: F.count(F.when(far, 1)))
 
 
@@ -642,10 +654,8 @@ def _dow_hour_histogram(p, f):
 def _seasonal_deviation(p, f):
     x = p.number(f)
     hour = p.column(2, ("season", str(x)), lambda: F.when(x.isNotNull(), _hour(F.col(T))))
-    own = Window.partitionBy(*p.keys, hour)
-    var = p.column(3, ("season_var", str(x)), lambda: F.var_samp(x).over(own))
-    mean = p.column(3, ("season_mean", str(x)), lambda: F.avg(x).over(own))
-    z = p.column(4, ("season_z", str(x)), lambda: F.when(var > 0, (x - mean) / F.sqrt(F.when(var > 0, var))))
+    own = p.column(3, ("season_moments", str(x)), lambda: Ordered("moments_all", x, (p.named(hour),)))
+    z = p.column(4, ("season_z", str(x)), lambda: F.when(own["var"] > 0, (x - own["mean"]) / F.sqrt(F.when(own["var"] > 0, own["var"]))))
     return p.latest(z, x)
 
 
@@ -691,7 +701,7 @@ def _point(p, f) -> Column:
 def _hop(p, f) -> tuple[Column, Column]:
     """Distance and time from the point before."""
     at = _point(p, f)
-    old = p.column(3, ("point_before", str(at)), lambda: F.when(at.isNotNull(), F.last(at, ignorenulls=True).over(p.before)))
+    old = F.when(at.isNotNull(), p.column(3, ("point_before", str(at)), lambda: Ordered("last_before", at)))
     km = p.column(4, ("hop", str(at)), lambda: distance_km(old["lat"], old["lon"], at["lat"], at["lon"]))
     return km, F.col(T) - old["t"]
 
@@ -724,8 +734,9 @@ def _geo_spread(p, f):
 @op("distance_from_home")
 def _distance_from_home(p, f):
     at, n = _point(p, f), f.params.get("samples", 100)
-    placed = p.column(3, ("point_rank", str(at)), lambda: F.count(at).over(p.whole) - F.count(at).over(p.upto))
-    near = at.isNotNull() & (placed < n)
+    size = p.column(3, ("point_size", str(at)), lambda: Ordered("count_all", at))
+    place = p.column(3, ("point_place", str(at)), lambda: Ordered("count_upto", at))
+    near = at.isNotNull() & (size - place < n)
     lat = p.total(("home_lat", str(at), n), lambda: F.avg(F.when(near, at["lat"])))
     lon = p.total(("home_lon", str(at), n), lambda: F.avg(F.when(near, at["lon"])))
     last = p.latest(at)

@@ -218,12 +218,12 @@ def _buffers() -> None:
     per_user("agg_seasonal_deviation", f.seasonal_deviation("value"), "")
     _SQL["agg_seasonal_deviation"] = f"""WITH {EVENTS_SQL}, s AS (SELECT *, var_samp(value) OVER h AS v, avg(value) OVER h AS m, row_number() OVER (PARTITION BY user_id ORDER BY t DESC, event_id DESC) AS b FROM e WINDOW h AS (PARTITION BY user_id, (t // {HOUR}) % 24))
  SELECT user_id, {r6('CASE WHEN v > 0 THEN (value - m) / sqrt(v) END')} AS feature FROM s WHERE b = 1"""
-    shares = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda s: F.concat(s["key"], F.lit("="), F.format_string("%.4f", s["value"]))), ",")
+    shares = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda s: F.concat(s["key"], F.lit("="), F.format_string("%.4f", s["value"] + SHIFT))), ",")
     per_user("agg_event_type_mix", f.event_type_mix("event_type"), "", shares)
     per_user("agg_event_type_mix_categories", f.event_type_mix("event_type", categories=["click", "view"]), "", shares)
     for name, cond in (("agg_event_type_mix", "true"), ("agg_event_type_mix_categories", "event_type IN ('click', 'view')")):
         _SQL[name] = f"""WITH {EVENTS_SQL}, c AS (SELECT user_id, event_type AS k2, count(*) AS n FROM e GROUP BY ALL), s AS (SELECT *, n / sum(n) OVER (PARTITION BY user_id) AS p FROM c)
- SELECT u.user_id, coalesce(string_agg(k2 || '=' || printf('%.4f', p), ',' ORDER BY k2), '') AS feature FROM (SELECT DISTINCT user_id FROM e) u LEFT JOIN s ON u.user_id = s.user_id AND {cond.replace("event_type", "k2")} GROUP BY u.user_id"""
+ SELECT u.user_id, coalesce(string_agg(k2 || '=' || printf('%.4f', p + 1e-9), ',' ORDER BY k2), '') AS feature FROM (SELECT DISTINCT user_id FROM e) u LEFT JOIN s ON u.user_id = s.user_id AND {cond.replace("event_type", "k2")} GROUP BY u.user_id"""
     per_user("agg_reservoir_sample", f.reservoir_sample("event_id", samples=5), "", _list_text)
     u64 = "18446744073709551615::HUGEINT"
     mul = lambda x, n: f"(({x})::HUGEINT * {1 << n}) & {u64}"

@@ -6,13 +6,14 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.types import millis, schema_of
 from ..model import DEDUPE_WINDOW, EventSource, Feature, Table, duration_ms
 from ..operators import chain
-from ..operators.compile import NOW, OPS, SEQ, Plan, T
+from ..operators.compile import NOW, OPS, SEQ, Ordered, Plan, T
+from . import ordered
 
 ALL = "_tr_all"
 
@@ -63,19 +64,18 @@ def dedupe(df: DataFrame, key: str, window: int | None) -> DataFrame:
     return ordered.mapInArrow(run, ordered.schema).unionByName(df.filter(F.col(key).isNull()))
 
 
-def last_session(df: DataFrame, keys: Sequence[str], cold_after: int) -> DataFrame:
+def last_session(df: DataFrame, keys: Sequence[str], cold_after: int, parts: bool = False) -> DataFrame:
     """Only the events after an entity's last silence of more than `cold_after`."""
-    order = Window.partitionBy(*keys).orderBy(T, SEQ)
-    gap = F.col(T) - F.lag(T).over(order)
-    started = F.max(F.when(F.col("_tr_gap") > cold_after, F.col(T))).over(Window.partitionBy(*keys))
-    cut = df.withColumn("_tr_gap", gap).withColumn("_tr_from", started)
-    return cut.filter(F.col("_tr_from").isNull() | (F.col(T) >= F.col("_tr_from"))).drop("_tr_gap", "_tr_from")
+    df = ordered.add(df, keys, {"_tr_late": Ordered("last_before", F.col(T))}, parts)
+    df = ordered.add(df, keys, {"_tr_from": Ordered("max_all", F.when(F.col(T) - F.col("_tr_late") > cold_after, F.col(T)))}, parts)
+    return df.filter(F.col("_tr_from").isNull() | (F.col(T) >= F.col("_tr_from"))).drop("_tr_late", "_tr_from")
 
 
-def feature_table(stream: Stream, keys: Sequence[str], features: dict[str, Feature], *, steps: Sequence = (), source: EventSource | None = None, query_time: int | Column | None = None, schema: dict[str, str] | None = None, only: Column | None = None) -> DataFrame:
+def feature_table(stream: Stream, keys: Sequence[str], features: dict[str, Feature], *, steps: Sequence = (), source: EventSource | None = None, query_time: int | Column | None = None, schema: dict[str, str] | None = None, only: Column | None = None, parts: int | None = None) -> DataFrame:
     """One row per entity, its keys and features, as of `query_time` (default: the last event's time).
 
-    `only` narrows the entities (a condition on the keys) before anything is shuffled. Events whose key is null
+    `parts` spreads the events of each entity over so many parts of time for the features that need order: for
+    tables in which a single entity (or a table without keys) holds more events than one task should sort. `only` narrows the entities (a condition on the keys) before anything is shuffled. Events whose key is null
     or NaN belong to no entity. A table without keys has one row once there is an event.
     """
     df = prepare(stream, source)
@@ -93,13 +93,18 @@ def feature_table(stream: Stream, keys: Sequence[str], features: dict[str, Featu
     if only is not None:
         df = df.filter(only)
     if source is not None and source.cold_after and (cold := duration_ms(source.cold_after)):
-        df = last_session(df, own, cold)
+        df = last_session(ordered.add_parts(df, parts) if parts else df, own, cold, bool(parts))
     p = Plan(own, known)
     results = {name: OPS[f.op](p, f) for name, f in features.items()}
-    df = df.withColumn(NOW, now) if any(NOW in str(c) for c in [*p.aggs.values(), *(c for lv in p.levels for c in lv.values())]) else df
+    made = [c.value if isinstance(c, Ordered) else c for level in p.levels for c in level.values()]
+    df = df.withColumn(NOW, now) if any(NOW in str(c) for c in [*p.aggs.values(), *made]) else df
+    if parts and ordered.PART not in df.columns and any(isinstance(c, Ordered) for level in p.levels for c in level.values()):
+        df = ordered.add_parts(df, parts)
     for level in p.levels:
-        if level:
-            df = df.withColumns(level)
+        if plain := {n: c for n, c in level.items() if not isinstance(c, Ordered)}:
+            df = df.withColumns(plain)
+        if windows := {n: c for n, c in level.items() if isinstance(c, Ordered)}:
+            df = ordered.add(df, own, windows, bool(parts))
     base = df.groupBy(*own).agg(*[c.alias(n) for n, c in p.aggs.items()]) if p.aggs else df.select(*own).distinct()
     for _, make in p.sides:
         base = base.join(make(df), own, "left")

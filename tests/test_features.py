@@ -77,9 +77,17 @@ def close(a, b):
 @pytest.mark.parametrize("where", [None, HIT], ids=["all", "where"])
 @pytest.mark.parametrize("seed", [1, 2])
 def test_plan_matches_fold(spark, seed, where):
+    compare(spark, seed, where, None)
+
+
+def test_parts_match_fold(spark):
+    compare(spark, 1, HIT, 7)
+
+
+def compare(spark, seed, where, parts):
     rows, feats = stream(seed), features(where)
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    got = {r["key"]: r.asDict(recursive=True) for r in feature_table(Stream(df, "t", ("seq",)), ("key",), feats).collect()}
+    got = {r["key"]: r.asDict(recursive=True) for r in feature_table(Stream(df, "t", ("seq",)), ("key",), feats, parts=parts).collect()}
     want = folded(rows, feats)
     assert got.keys() == want.keys()
     wrong = [(k, n, got[k][n], v) for k, own in want.items() for n, v in own.items() if not close(got[k][n], v)]
@@ -121,7 +129,8 @@ def test_global_and_empty_tables(spark):
 def test_cold_entities_start_again(spark):
     rows = [(t, t, "k", 1.0, 1, "a", None, None, None) for t in (0, 1000, 12_000, 22_000, 32_001)]
     src = EventSource("E", {"x": "f64"}, cold_after="10s")
-    assert feature_table(Stream(spark.createDataFrame(rows, SCHEMA), "t", ("seq",)), ("key",), {"n": f.count()}, source=src).first()["n"] == 1
+    for parts in (None, 3):
+        assert feature_table(Stream(spark.createDataFrame(rows, SCHEMA), "t", ("seq",)), ("key",), {"n": f.count()}, source=src, parts=parts).first()["n"] == 1
 
 
 def test_dedupe_does_not_extend(spark):
