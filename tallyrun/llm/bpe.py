@@ -17,20 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import by_bytes, map_batches, strings, tokenizer_path
-from .token_units import UnitCache, byte_level_units
+from .token_units import UnitCache, byte_alphabet, byte_level_units
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 NEVER = 1 << 60
 _LETTERS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+")
 
 
-def byte_alphabet() -> dict[str, int]:
-    """The printable stand-in of each byte in byte-level vocabularies: printable Latin-1 is itself, the rest follow from 256."""
-    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(own)]
-    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 class BacktrackingBPE:
     """Tokens are Latin-1 strings (a character a byte) inside; ids outside."""
 
@@ -133,10 +126,8 @@ class BacktrackingBPE:
 
     def pieces(self, text: str) -> list[str]:
         """Pre-tokens as Latin-1 strings; the library's own splitter decides on all but plain words."""
-        m = _LETTERS.match(text)
-        if m and (m.end() == len(text) or text[m.end() :] in (".", ",")):
-            cut = [text[: m.end()], text[m.end() :]]
-            return [c.encode().decode("latin-1") for c in cut if c]
+        if _LETTERS.fullmatch(text):
+            return [text.encode().decode("latin-1")]
         back = self.back
         return ["".join(chr(back[c]) for c in p) for p, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
@@ -188,7 +179,7 @@ def encode_decode(docs: DataFrame, tokenizer: str | None = None, id_col: str = "
                     ids = np.frombuffer(b"".join([v[0] for v in own]), "<u4")
                     decoded = bpe.decode(ids).decode("utf-8", "replace")
                     counts.append(len(ids))
-                    ids_sha.append(hashlib.sha256(",".join([v[1] for v in own if v[1]]).encode()).hexdigest())
+                    ids_sha.append(hashlib.sha256(",".join([v[1] for v in own]).encode()).hexdigest())
                     text_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
                     if keep_ids:
                         kept.append(ids.astype(np.int32))
@@ -219,5 +210,6 @@ def _worker(path: str) -> BacktrackingBPE:
                 out.append((np.array(ids, "<u4").tobytes(), ",".join(map(str, ids))))
             return out
 
-        bpe.units = UnitCache(values, limit=150_000, split=False)
+        bpe.units = UnitCache(values, limit=300_000)
+        bpe.units.join = lambda a, b: (a[0] + b[0], f"{a[1]},{b[1]}")
     return _WORKERS[path]
