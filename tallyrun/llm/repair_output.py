@@ -34,7 +34,8 @@ def frequent_pairs(keys: np.ndarray, least: int, most: int) -> np.ndarray:
     """Up to `most` keys that occur at least `least` times, most frequent first, ties by key."""
     if not len(keys):
         return keys[:0]
-    ordered = np.sort(keys)
+    ordered = keys  # the caller's own copy
+    ordered.sort()
     edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
     counts = np.diff(np.append(edge, len(ordered)))
     often = counts >= least
@@ -63,7 +64,9 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocab: int, rounds: int = 8, per
         table = np.zeros(1 << table_bits, np.int32)
         table[slot(pairs)] = np.arange(len(pairs), dtype=np.int32)
         which = table[slot(keys)]
-        hits = np.flatnonzero((pairs[which] == keys) & inside)
+        hits = pairs[which] == keys
+        hits &= inside
+        hits = np.flatnonzero(hits)
         # of hits in a row, every other one is replaced, from the left
         fresh = np.concatenate([[True], np.diff(hits) != 1])
         order = np.arange(len(hits))

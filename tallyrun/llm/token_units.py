@@ -41,7 +41,17 @@ def byte_level_units(text: str) -> list[str]:
 
 
 def spaced_units(text: str) -> list[str]:
-    """For tokenizers that drop white space: words between blanks and newlines."""
+    """For tokenizers that drop white space and lower-case: words between blanks and newlines.
+
+    Latin-1 text is lower-cased here, which is the same character by character and makes units fewer; text that may
+    hold a special token is left as it is.
+    """
+    if "<|" not in text:
+        try:
+            text.encode("latin-1")
+            text = text.lower()
+        except UnicodeEncodeError:
+            pass
     return text.replace("\n", " ").split(" ")
 
 
@@ -52,7 +62,7 @@ class UnitCache:
     so a word is encoded once, whatever punctuation follows it.
     """
 
-    def __init__(self, encode: Callable[[Sequence[str]], Sequence], limit: int = 500_000, longest: int = 256, split: bool = True):
+    def __init__(self, encode: Callable[[Sequence[str]], Sequence], limit: int = 800_000, longest: int = 256, split: bool = True):
         self.encode, self.limit, self.longest, self.split, self.known, self.older = encode, limit, longest, split, {}, {}
 
     def values(self, units: list[str]) -> list:
@@ -80,10 +90,11 @@ class UnitCache:
             parts.append((u, m[1], m[2]))
             for half in m.groups():
                 if half not in known and half not in units:
-                    if half in older:
-                        known[half] = older[half]
-                    else:
+                    v = older.get(half)
+                    if v is None:
                         unknown.append(half)
+                    else:
+                        known[half] = v
         unknown = list(dict.fromkeys(unknown))
         new = dict(zip(unknown, self.encode(unknown), strict=True))
         long = {u: v for u, v in new.items() if len(u) > self.longest}
@@ -127,6 +138,7 @@ def library_encoder(path: str) -> Callable[[Sequence[str]], list[bytes]]:
     pre = spec.get("pre_tokenizer") or {}
     byte_level = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and spec.get("normalizer") is None
     lowered = kinds == ["NFC", "Replace", "Lowercase"] and [p["type"] for p in pre.get("pretokenizers", [])] == ["Split", "ByteLevel"]
+    tokenize = t.model.tokenize
     word, table = (_WORD if byte_level else _BARE_WORD if lowered else None), {b: c for c, b in byte_alphabet().items()}
 
     def encode(units: Sequence[str]) -> list[bytes]:
@@ -136,8 +148,11 @@ def library_encoder(path: str) -> Callable[[Sequence[str]], list[bytes]]:
             if word is not None and word.fullmatch(u):
                 if lowered:
                     u = u.lower()
-                u = "\u0120" + u[1:] if u.isascii() and u[0] == " " else u if u.isascii() else u.encode().decode("latin-1").translate(table)
-                out[i] = array(code, [x.id for x in t.model.tokenize(u)]).tobytes()
+                if not u.isascii():
+                    u = u.encode().decode("latin-1").translate(table)
+                elif u[0] == " ":
+                    u = "\u0120" + u[1:]
+                out[i] = array(code, [x.id for x in tokenize(u)]).tobytes()
             else:
                 rest.append(i)
         for i, e in zip(rest, t.encode_batch_fast([units[i] for i in rest], add_special_tokens=False), strict=True):
