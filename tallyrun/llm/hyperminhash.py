@@ -9,11 +9,12 @@
    not all pairs. The compressed registers give a collision-corrected estimate; pairs that
    may reach the threshold are confirmed on full sets, and links are joined into components.
 4. Buckets that still hold several components are compared in blocks, over components
-   only, so a link that no star has found is found there. What the estimate lets through is
-   confirmed in the same way.
+   only, so a link that no star has found is found there. Its members get a longer signature, as
+   in a group of near copies most pairs lie close below the threshold. A pair comes out of the first
+   bucket it shares only, and what the estimates let through is confirmed in the same way.
 
 With 128 registers in bands of four, a pair at similarity 0.75 misses all buckets with
-probability (1 - 0.75^4)^32 = 5e-6; the estimate's margin is over five of its deviations.
+probability (1 - 0.75^4)^32 = 5e-6; both estimates keep margins of over four deviations, which is as rare.
 """
 
 from __future__ import annotations
@@ -41,9 +42,11 @@ class NearDupes:
     band: int = 4
     mantissa: int = 10
     #: estimates below this are not confirmed
-    estimate: float = 0.53
-    #: members of a block in step 4
-    block: int = 128
+    estimate: float = 0.58
+    #: members of a block in step 4, registers of their longer signature (a byte each) and its least estimate
+    block: int = 512
+    fine_registers: int = 1024
+    fine_estimate: float = 0.69
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -172,26 +175,45 @@ def signatures(docs: DataFrame, how: NearDupes) -> DataFrame:
     return map_batches(docs, make, "doc_id long, n_shingles long, fp binary, sig binary")
 
 
+def keys_of(sig: np.ndarray, band: int) -> np.ndarray:
+    """Bucket keys (rows, bands) of signatures."""
+    bands = sig.shape[1] // band
+    key = np.zeros((len(sig), bands), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(band):
+            key = mix(key * np.uint64(0x100000001B3) + sig[:, k : bands * band : band].astype(np.uint64) + np.uint64(1))
+        return mix(key + np.arange(bands, dtype=np.uint64)[None, :] * _BASE).view(np.int64)
+
+
 def band_keys(classes: DataFrame, how: NearDupes) -> DataFrame:
     """(key, node) for each band of each class."""
-    bands = how.registers // how.band
 
     def make():
         def work(batch):
-            nodes = batch.column("node").to_numpy()
-            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u2").reshape(len(nodes), how.registers)
-            key = np.zeros((len(nodes), bands), np.uint64)
-            with np.errstate(over="ignore"):
-                for k in range(how.band):
-                    key = mix(key * np.uint64(0x100000001B3) + sig[:, k::how.band].astype(np.uint64)[:, :bands] + np.uint64(1))
-                key = mix(key + np.arange(bands, dtype=np.uint64)[None, :] * _BASE)
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(nodes, bands))], names=["key", "node"])
+            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u2").reshape(-1, how.registers)
+            keys = keys_of(sig, how.band)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column("node").to_numpy(), keys.shape[1]))], names=["key", "node"])
 
         return work
 
     return map_batches(classes.select("node", "sig"), make, "key long, node long")
 
 
+def fine_signatures(sets: DataFrame, how: NearDupes) -> DataFrame:
+    """(node, fine): more registers, each cut to a byte of its hash, from full sets."""
+
+    def make():
+        signer = Signer(how.fine_registers, how.mantissa, seed=17)
+
+        def work(batch):
+            fine = [(mix(signer.sign(row.values.to_numpy().view(np.uint64)).astype(np.uint64)) >> np.uint64(56)).astype(np.uint8).tobytes() for row in batch.column("shingles")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(fine, pa.binary())], names=["node", "fine"])
+
+        return work
+
+    return map_batches(sets.select("node", "shingles"), make, "node long, fine binary")
+
+
 def likely(pairs: DataFrame, how: NearDupes) -> DataFrame:
     """Pairs (a, b, n_a, n_b, sig_a, sig_b) whose estimate may reach the threshold."""
 
@@ -235,65 +257,80 @@ def confirm(pairs: DataFrame, sets: DataFrame, how: NearDupes) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, label): the least node reachable. Least labels spread along links and are then followed to their own labels, until none changes."""
-    both = stash(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")).distinct(), "links")
-    labels = stash(both.groupBy("u").agg(F.least("u", F.min("v")).alias("label")).withColumnRenamed("u", "node"), "labels")
+    """(node, label): nodes joined by links share a label.
+
+    Each round takes every node to its least neighbour, one step further to that one's own, and contracts the
+    links to what still joins different nodes. Links shrink to less than half in a round, so a few rounds do.
+    """
+    links = stash(links.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).filter("u <> v").distinct(), "links")
+    labels = None
     while True:
-        known = labels.select(F.col("node").alias("v"), "label")
-        spread = both.join(known, "v").groupBy("u").agg(F.min("label").alias("near"))
-        merged = labels.join(spread.withColumnRenamed("u", "node"), "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = stash(merged.join(jump, "label").select("node", "old", F.least("label", "further").alias("label")), "labels")
-        changed = new.filter("label <> old").limit(1).count()
-        unstash(labels)
-        labels = new.select("node", "label")
-        labels._stash_path = new._stash_path
-        if not changed:
+        both = links.union(links.select("v", "u"))
+        least = both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("label"))
+        least = stash(least, "least")
+        step = stash(least.join(least.select(F.col("node").alias("label"), F.col("label").alias("further")), "label").select("node", F.least("label", "further").alias("label")), "step")
+        if labels is None:
+            known = step
+        else:
+            moved = step.select(F.col("node").alias("label"), F.col("label").alias("further"))
+            known = stash(labels.join(moved, "label", "left").select("node", F.coalesce("further", "label").alias("label")), "labels")
+        at = [step.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label")) for c in ("u", "v")]
+        left = links.join(at[0], "u").join(at[1], "v").filter("u_label <> v_label")
+        left = stash(left.select(F.least("u_label", "v_label").alias("u"), F.greatest("u_label", "v_label").alias("v")).distinct(), "links")
+        done = left.limit(1).count() == 0
+        for old in (links, least, *([labels, step] if labels is not None else [])):
+            unstash(old)
+        links, labels = left, known
+        if done:
             return labels
 
 
 def blocked_pairs(members: DataFrame, how: NearDupes) -> DataFrame:
-    """Likely pairs over different components in each bucket (key, node, label, n, sig), by pairs of blocks.
+    """Likely pairs over different components in each bucket (key, node, label, n_shingles, sig, fine), by pairs of blocks.
 
-    A bucket of m members has about m / block blocks; each pair of blocks is a task's unit of its own, so
-    no bucket is gathered whole. Only pairs of different components that pass sizes and estimate come out.
+    A bucket of m members has about m / block blocks; each pair of blocks is a unit of its own, so
+    no bucket is gathered whole. Only pairs of different components that pass sizes and both estimates come
+    out, and of the buckets that a pair shares only the first one lets it out.
     """
     sizes = members.groupBy("key").agg(F.count("*").alias("m"))
     placed = members.join(sizes, "key").withColumn("blocks", F.ceil(F.col("m") / how.block).cast("int"))
     placed = placed.withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    unit = met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "n_shingles", "sig")
+    unit = met.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "n_shingles", "sig", "fine")
     unit = unit.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    bands = how.registers // how.band
+
+    def pairs(group: list[pa.RecordBatch]):
+        t = pa.Table.from_batches(group)
+        if t.num_rows < 2:
+            return None
+        node, label, n, own = (t.column(c).to_numpy() for c in ("node", "label", "n_shingles", "own"))
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u2").reshape(-1, how.registers)
+        fine = np.frombuffer(b"".join(t.column("fine").to_pylist()), np.uint8).reshape(-1, how.fine_registers)
+        band = int(np.flatnonzero(keys_of(sig[:1], how.band)[0] == t.column("key")[0].as_py())[0])
+        apart = t.column("i")[0].as_py() != t.column("j")[0].as_py()
+        found = []
+        for k in range(len(node)):
+            ok = (label != label[k]) & (node > node[k]) & (100 * np.minimum(n, n[k]) >= how.percent * np.maximum(n, n[k]))
+            if apart:
+                ok &= own != own[k]
+            at = np.flatnonzero(ok)
+            if not len(at):
+                continue
+            equal = sig[at] == sig[k]
+            near = equal.sum(axis=1) >= how.estimate * how.registers  # chance agreement only lowers an estimate
+            at, equal = at[near], equal[near]
+            if not len(at):
+                continue
+            first = equal[:, : bands * how.band].reshape(len(at), bands, how.band).all(axis=2).argmax(axis=1)
+            at = at[first == band]
+            share = (fine[at] == fine[k]).mean(axis=1)
+            at = at[(share - 1 / 256) / (1 - 1 / 256) >= how.fine_estimate]
+            found += [(int(node[k]), int(x)) for x in node[at]]
+        return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"]) if found else None
 
     def run(batches):
         held, last = [], None
-
-        def pairs(group: list[pa.RecordBatch]):
-            t = pa.Table.from_batches(group)
-            if t.num_rows < 2:
-                return None
-            node, label, n, own = (t.column(c).to_numpy() for c in ("node", "label", "n_shingles", "own"))
-            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u2").reshape(-1, how.registers)
-            i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-            found_a, found_b = [], []
-            for k in range(len(node)):
-                ok = (label != label[k]) & (node > node[k]) & (100 * np.minimum(n, n[k]) >= how.percent * np.maximum(n, n[k]))
-                if i != j:
-                    ok &= own != own[k]
-                at = np.flatnonzero(ok)
-                if not len(at):
-                    continue
-                equal = (sig[at] == sig[k]).sum(axis=1)
-                # chance agreement only lowers an estimate, so most pairs end here
-                rough = equal >= how.estimate * how.registers
-                at, equal = at[rough], equal[rough]
-                if not len(at):
-                    continue
-                near = estimate(equal, how.registers, np.full(len(at), n[k]), n[at], how.mantissa) >= how.estimate
-                found_a += [node[k]] * int(near.sum())
-                found_b += node[at[near]].tolist()
-            return pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["a", "b"]) if found_a else None
-
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -311,7 +348,7 @@ def blocked_pairs(members: DataFrame, how: NearDupes) -> DataFrame:
             yield out
 
     ship(members.sparkSession)
-    return unit.mapInArrow(run, "a long, b long").distinct()
+    return unit.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, how: NearDupes | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -346,13 +383,17 @@ def near_duplicates(docs: DataFrame, how: NearDupes | None = None, id_col: str =
 
     open_members = shared.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     mixed = open_members.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
-    members = open_members.join(mixed, "key", "left_semi").join(described, "node")
-    rest = blocked_pairs(members, how).join(candidates, ["a", "b"], "left_anti")
+    members = stash(open_members.join(mixed, "key", "left_semi"), "members")
+    fine = fine_signatures(sets.join(members.select("node").distinct(), "node", "left_semi"), how)
+    rest = blocked_pairs(members.join(described.join(fine, "node"), "node"), how).join(candidates, ["a", "b"], "left_anti")
     more = stash(confirm(rest, sets, how), "more")
-    if more.limit(1).count():
-        labels = components(links.union(more))
-
-    named = classes.join(labels, "node", "left").select("fp", "n_shingles", "rep", F.coalesce("label", "node").alias("label"))
+    named = classes.join(labels, "node", "left").select("fp", "n_shingles", "rep", "node", F.coalesce("label", "node").alias("label"))
+    if more.limit(1).count():  # links between components, which are few
+        of = labels.select(F.col("node").alias("a"), F.col("label").alias("a_label"))
+        to = labels.select(F.col("node").alias("b"), F.col("label").alias("b_label"))
+        between = more.join(of, "a", "left").join(to, "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
+        joined = components(between).select(F.col("node").alias("label"), F.col("label").alias("further"))
+        named = named.join(joined, "label", "left").select("fp", "n_shingles", "rep", "node", F.coalesce("further", "label").alias("label"))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     of_fp = named.join(least, "label").select("fp", "n_shingles", "component_id")
     result = rows.select("doc_id", "n_shingles", "fp").join(of_fp, ["fp", "n_shingles"], "left")
