@@ -148,8 +148,13 @@ def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 
+def _text_key(text) -> list:
+    """Two hashes of a text; equal texts have equal sets, so with the id they name a document's row."""
+    return [F.xxhash64(text).alias("text_key"), F.xxhash64(F.lit("text"), text).alias("text_key2")]
+
+
 def signatures(docs: DataFrame, how: NearDupes) -> DataFrame:
-    """doc_id, n_shingles, fp (128-bit digest of the set; null if it is empty), sig."""
+    """doc_id, text keys, n_shingles, fp (128-bit digest of the set; null if it is empty), sig."""
 
     def make():
         shingler, signer = Shingler(how.words), Signer(how.registers, how.mantissa)
@@ -168,11 +173,12 @@ def signatures(docs: DataFrame, how: NearDupes) -> DataFrame:
                     known[fp] = signer.sign(s).tobytes()
                 fps.append(fp)
                 sigs.append(known[fp])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(fps, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "fp", "sig"])
+            own = [batch.column(c) for c in ("doc_id", "text_key", "text_key2")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(sizes, pa.int64()), pa.array(fps, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "text_key", "text_key2", "n_shingles", "fp", "sig"])
 
         return work
 
-    return map_batches(docs, make, "doc_id long, n_shingles long, fp binary, sig binary")
+    return map_batches(docs.select("doc_id", "text", *_text_key(docs["text"])), make, "doc_id long, text_key long, text_key2 long, n_shingles long, fp binary, sig binary")
 
 
 def keys_of(sig: np.ndarray, band: int) -> np.ndarray:
@@ -351,18 +357,15 @@ def blocked_pairs(members: DataFrame, how: NearDupes) -> DataFrame:
     return unit.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, how: NearDupes | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Component of each document and whether it is the one that stays.
+def verdicts(docs: DataFrame, how: NearDupes) -> DataFrame:
+    """Each row (doc_id, text) with its text keys, n_shingles, fp, component_id and kept.
 
-    Null and blank texts have no shingles and are linked with nothing, each being its own component. Texts
-    with fewer words than a shingle have one shingle of them all. Repeated rows each give a row; rows of one id
-    and set are copies of each other. A null id takes part, but names a component only if no other id does.
-    Only the id and the text are read.
+    One class of each component stays: the one with the least id, and of several such (an id with several near
+    texts, or classes of null ids alone) the one with the least fp. Of it the rows with that id stay, or, as null
+    ids name no document, a single row.
     """
-    how = how or NearDupes()
-    docs = _documents(docs, id_col, text_col)
-    rows = stash(signatures(docs, how), "rows")
-    firsts = rows.filter("fp is not null").groupBy("fp", "n_shingles").agg(F.min("doc_id").alias("rep"), F.max("sig").alias("sig"))
+    rows = stash(signatures(docs, how).withColumn("row", F.monotonically_increasing_id()), "rows")
+    firsts = rows.filter("fp is not null").groupBy("fp", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min("row").alias("first"), F.max("sig").alias("sig"))
     classes = stash(firsts.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     keyed = band_keys(classes, how)
@@ -387,24 +390,41 @@ def near_duplicates(docs: DataFrame, how: NearDupes | None = None, id_col: str =
     fine = fine_signatures(sets.join(members.select("node").distinct(), "node", "left_semi"), how)
     rest = blocked_pairs(members.join(described.join(fine, "node"), "node"), how).join(candidates, ["a", "b"], "left_anti")
     more = stash(confirm(rest, sets, how), "more")
-    named = classes.join(labels, "node", "left").select("fp", "n_shingles", "rep", "node", F.coalesce("label", "node").alias("label"))
+    named = classes.join(labels, "node", "left").select("fp", "n_shingles", "rep", "first", "node", F.coalesce("label", "node").alias("label"))
     if more.limit(1).count():  # links between components, which are few
         of = labels.select(F.col("node").alias("a"), F.col("label").alias("a_label"))
         to = labels.select(F.col("node").alias("b"), F.col("label").alias("b_label"))
         between = more.join(of, "a", "left").join(to, "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
         joined = components(between).select(F.col("node").alias("label"), F.col("label").alias("further"))
-        named = named.join(joined, "label", "left").select("fp", "n_shingles", "rep", "node", F.coalesce("further", "label").alias("label"))
-    least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    of_fp = named.join(least, "label").select("fp", "n_shingles", "component_id")
-    result = rows.select("doc_id", "n_shingles", "fp").join(of_fp, ["fp", "n_shingles"], "left")
-    component = F.coalesce("component_id", "doc_id")
-    return result.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+        named = named.join(joined, "label", "left").select("fp", "n_shingles", "rep", "first", "node", F.coalesce("further", "label").alias("label"))
+    least = named.groupBy("label").agg(F.min(F.struct(F.col("rep").isNull(), "rep", "fp")).alias("least")).select("label", F.col("least.rep").alias("component_id"), F.col("least.fp").alias("best"))
+    of_fp = named.join(least, "label").select("fp", "n_shingles", "component_id", F.when(F.col("fp") == F.col("best"), F.col("first")).alias("first"))
+    result = rows.drop("sig").join(of_fp, ["fp", "n_shingles"], "left")
+    stays = F.col("first").isNotNull() & F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull() & (F.col("row") == F.col("first")))
+    return result.select("doc_id", "text_key", "text_key2", "n_shingles", "fp", F.coalesce("component_id", "doc_id").alias("component_id"), (F.col("fp").isNull() | stays).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, how: NearDupes | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Component of each document and whether it is the one that stays.
+
+    Null and blank texts have no shingles and are linked with nothing, each being its own component. Texts
+    with fewer words than a shingle have one shingle of them all. Repeated rows each give a row; rows of one id
+    and set are copies of each other and share the verdict. A null id takes part, but names a component only if no
+    other id does; of a component of null ids alone one row stays. Only the id and the text are read.
+    """
+    return verdicts(_documents(docs, id_col, text_col), how or NearDupes()).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def keep_one(docs: DataFrame, how: NearDupes | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows, all columns unchanged, of one document of each component; of equal rows one stays."""
-    kept = near_duplicates(docs, how, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    rows = docs.join(kept, docs[id_col].cast("long").eqNullSafe(F.col("__kept")), "left_semi")
-    order = Window.partitionBy(id_col, "__text").orderBy(F.lit(1))
-    numbered = rows.withColumn("__text", F.xxhash64(text_col)).withColumn("__n", F.row_number().over(order))
+    found = verdicts(_documents(docs, id_col, text_col), how or NearDupes()).filter("kept")
+    # a kept id may have several texts of one set, of which one stays; texts without a set are each their own
+    alone = F.when(F.col("fp").isNull(), F.struct("text_key", "text_key2"))
+    kept = found.groupBy("doc_id", "fp", alone.alias("alone")).agg(F.min(F.struct("text_key", "text_key2")).alias("k")).select(F.col("doc_id").alias("__kept"), F.col("k.text_key").alias("__key"), F.col("k.text_key2").alias("__key2"))
+    text = docs[text_col].cast("string")
+    key, key2 = _text_key(text)
+    keyed = docs.withColumns({"__id": docs[id_col].cast("long"), "__text": key, "__text2": key2})
+    same = keyed["__id"].eqNullSafe(kept["__kept"]) & (keyed["__text"] == kept["__key"]) & (keyed["__text2"] == kept["__key2"])
+    order = Window.partitionBy("__id", "__text", "__text2").orderBy(F.lit(1))
+    numbered = keyed.join(kept, same, "left_semi").withColumn("__n", F.row_number().over(order))
     return numbered.filter("__n = 1").select(*[numbered[c] for c in docs.columns])

@@ -100,6 +100,26 @@ def test_keep_one(make_docs):
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, rows[0][1]), (3, None), (None, "something else"), (4, "")], key=str)
 
 
+def test_keep_one_with_null_and_repeated_ids(make_docs):
+    """The verdict is a row's, not its id's: null ids and ids with several texts keep one row of each component."""
+    rng = random.Random(21)
+
+    def near(base):
+        w = list(base)
+        w[rng.randrange(len(w))] = f"x{rng.random()}"
+        return " ".join(w)
+
+    a, b, c, d = ([f"{k}{i}" for i in range(120)] for k in "abcd")
+    rows = [(3, " ".join(a)), (7, near(a)), (7, " ".join(b)), (None, near(a)), (None, " ".join(a))]  # 7 is rejected in one component and stays in another
+    rows += [(None, " ".join(c)), (None, " ".join(c).upper()), (None, " ".join(c)), (None, near(c)), (None, near(c))]
+    rows += [(9, " ".join(d)), (9, near(d)), (9, " ".join(d).upper())]
+    sets = {"a": [0], "b": [2], "c": range(5, 10), "d": range(10, 13)}
+    got = [(r.doc_id, r.text) for r in keep_one(make_docs(rows)).collect()]
+    assert len(got) == 4 and all(sum(g == rows[i] for g in got for i in {rows[k]: k for k in own}.values()) == 1 for own in sets.values())
+    verdict = near_duplicates(make_docs(rows)).collect()
+    assert sorted(((r.doc_id, r.component_id) for r in verdict if r.kept and r.doc_id != 9), key=str) == [(3, 3), (7, 7), (None, None)]
+
+
 def test_signatures():
     signer, shingler = Signer(128, 10), Shingler(5)
     rng = np.random.default_rng(0)
