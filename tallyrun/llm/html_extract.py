@@ -34,30 +34,39 @@ ASIDE_NAME = re.compile(
     r"(?:^|[-_\s])(?:ad|ads|advert\w*|adbox|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|sidebar|side|aside|widget|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|comments?|commentlist|disqus|replies|reply|responses?|pagination|pager|toolbar|skip|hidden|copyright|legal|disclaimer)(?=$|[-_\s\d])",
     re.I,
 )
+#: parts of names that tell of a page's layout or state rather than name a region
+LAYOUT_NAME = re.compile(r"(?:^|[-_])(?:has|no|not|non|with|without|by|fixed|sticky|open|opened|closed|collapsed|layout)(?=$|[-_])", re.I)
+COMMENT_NAME = re.compile(r"(?:^|[-_])(?:comments?|commentlist|disqus|replies|reply|responses?)(?=$|[-_\d])", re.I)
 BONUS = {"article": 1.5, "main": 1.2}
 DECAY = 0.8
 
 
 class Node:
-    __slots__ = ("tag", "path", "parent", "aside", "link", "score")
+    __slots__ = ("tag", "path", "parent", "aside", "link", "named", "score")
 
-    def __init__(self, tag: str, path: str, parent: Node | None, aside: bool, link: bool):
-        self.tag, self.path, self.parent, self.aside, self.link, self.score = tag, path, parent, aside, link, 0.0
+    def __init__(self, tag: str, path: str, parent: Node | None, aside: bool, link: bool, named: str = ""):
+        self.tag, self.path, self.parent, self.aside, self.link, self.named, self.score = tag, path, parent, aside, link, named, 0.0
 
 
-def step_of(tag: str, raw: str) -> tuple[str, bool]:
-    """The path step of a tag (classes sorted, numbers generalised) and whether it is set aside."""
+def aside_name(names: str) -> str:
+    """The first of an element's class or id tokens that names a region to set aside; a layout's token names none."""
+    return next((t for t in names.split() if ASIDE_NAME.search(t) and not LAYOUT_NAME.search(t)), "")
+
+
+def step_of(tag: str, raw: str) -> tuple[str, bool, str]:
+    """The path step of a tag (classes sorted, numbers generalised), whether it is set aside, and the name that asks for it."""
     if not raw or raw.isspace():
-        return tag, tag in ASIDE_TAGS
+        return tag, tag in ASIDE_TAGS, ""
     found = {m[1].lower(): next((g for g in m.groups()[1:] if g is not None), "") for m in ATTRIBUTE.finditer(raw)}
     classes, name = found.get("class", ""), found.get("id", "")
     aside = tag in ASIDE_TAGS or found.get("role", "").lower() in ASIDE_ROLES or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
+    named = ""
     if not aside and tag not in ("html", "body", "article", "main") and (classes or name):
-        aside = bool(ASIDE_NAME.search(classes) or ASIDE_NAME.search(name))
+        named = aside_name(f"{classes} {name}")
     elif not aside and tag == "article" and (classes or name):  # a reader's comment may be an article by itself
         aside = bool(re.search(r"(?:^|[-_\s])comments?(?=$|[-_\s\d])", f"{classes} {name}", re.I))
     steps = sorted({re.sub(r"\d+", "0", c) for c in classes.split()})
-    return ".".join([tag, *steps]), aside
+    return ".".join([tag, *steps]), aside, named
 
 
 def blocks(page: str):
@@ -125,9 +134,9 @@ def blocks(page: str):
             elif done := close():
                 yield done
             continue
-        step, aside = step_of(tag, m[3])
+        step, aside, named = step_of(tag, m[3])
         if tag in INLINE:
-            stack.append(Node(tag, top.path, top, top.aside or aside, top.link or tag == "a"))
+            stack.append(Node(tag, top.path, top, top.aside or aside or bool(named), top.link or tag == "a"))
             continue
         if done := close():
             yield done
@@ -144,7 +153,7 @@ def blocks(page: str):
         while stack[-1].tag in INLINE:
             stack.pop()
         top = stack[-1]
-        node = Node(tag, f"{top.path}>{step}", top, top.aside or aside, False)
+        node = Node(tag, f"{top.path}>{step}", top, top.aside or aside, False, named)
         if not m[3].endswith("/"):
             stack.append(node)
         else:
@@ -153,10 +162,50 @@ def blocks(page: str):
         yield done
 
 
+def above(node: Node | None):
+    while node is not None:
+        yield node
+        node = node.parent
+
+
+def outside_named(found: list[tuple[Node, str, int]]) -> list[tuple[Node, str, int]]:
+    """The blocks that lie in no region set aside by its name.
+
+    A name does not count on an element that holds a main or the longest article (in a named region, teasers apart: one
+    with a quarter of the text that is no comment), nor, on a page without these, on one that holds over half of
+    the page's text (links do not count, and a region of comments stays one).
+    """
+    sizes: dict[Node, int] = defaultdict(int)
+    total, remarks, any_named = 0, 0, False
+    for node, text, links in found:
+        gain = max(0, len(text) - 2 * links)
+        total += gain
+        remark = False
+        for n in above(node):
+            if n.named or n.tag in ("main", "article"):
+                sizes[n] += gain
+                any_named = any_named or bool(n.named)
+                remark = remark or bool(n.named and COMMENT_NAME.search(n.named))
+        remarks += gain * remark
+    if not any_named:
+        return found
+    contents = [n for n in sizes if n.tag in ("main", "article") and sizes[n]]
+    free = [n for n in contents if not any(a.named for a in above(n))]
+    hearts = [n for n in contents if n.tag == "main"]
+    if articles := [n for n in contents if n.tag == "article"]:
+        longest = max(articles, key=sizes.get)
+        if longest in free or 4 * sizes[longest] >= total - remarks:
+            hearts.append(longest)
+    holds = {n for h in hearts for n in above(h)}
+    if not hearts and not free:
+        holds = {n for n in sizes if 2 * sizes[n] > total and not COMMENT_NAME.search(n.named)}
+    return [b for b in found if not any(n.named and n not in holds for n in above(b[0]))]
+
+
 def score(page: str) -> list[tuple[Node, str]]:
     """The page's blocks outside set-aside regions; their containers get their scores."""
     found = []
-    for node, text, links in blocks(page):
+    for node, text, links in outside_named(list(blocks(page))):
         found.append((node, text))
         gain = max(0, len(text) - 2 * links)
         n = node.parent if node.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "li", "dd", "dt") else node

@@ -224,6 +224,23 @@ def test_broken_pages(page, want):
     assert text_of(page) == want
 
 
+LONG = "A long paragraph about the harbour and its old wall, which the members want to keep."
+
+
+@pytest.mark.parametrize("wrapper", ["class='content with-sidebar'", "class='has-sidebar'", "class='no-sidebar'", "class='col side-by-side'", "id='page-header-fixed'", "class='x widget'", "id='header'"])
+@pytest.mark.parametrize("inner", ["<article><h1>Title</h1><p>{0}</p></article>", "<h1>Title</h1><p>{0}</p>"])
+def test_layout_wrappers_are_read(wrapper, inner):
+    page = f"<body><div class='site-footer'><p>Foot</p></div><div {wrapper}>{inner.format(LONG)}<div class='main-sidebar'><p>Side</p></div><div class='related-posts'><article><p>Teaser</p></article></div></div>"
+    assert text_of(page) == f"Title\n{LONG}"
+
+
+def test_named_regions_stay_out():
+    """However long, comments and notices beside the text are no text."""
+    for region in ("cookie-notice", "comments", "post-comments", "site-footer", "ad-300", "sidebar"):
+        assert text_of(f"<body><article><p>{LONG}</p></article><div class='{region}'><p>{LONG * 5}</p></div>") == LONG
+    assert text_of(f"<body><div class='post'><p>{LONG}</p></div><div class='comments'><p>{LONG * 5}</p></div>") == LONG
+
+
 def test_consensus(spark):
     """A page whose own best container is another than its host's is read by the host's path."""
     usual = "<body><div class='c1'><p>{0} words of the main text, as on all pages here.</p></div><div class='x'><p>{0} short</p></div>"
