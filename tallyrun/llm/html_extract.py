@@ -2,8 +2,9 @@
 
 Each page scores its containers; the score goes as a vote to the container's path of tags and
 classes, with numbers in class names generalised. Votes are summed per host in Spark, the
-path with most votes wins, and each page is read again with its host's winning path. A page on
-which that path has no text falls back to its own best container.
+path with most votes wins, and each page is read again with its host's winning path: what lies below it, and
+around it what the text goes on with (see around()). A page on which that path has no text, or next to none of
+what the page's own best container scores, falls back to that container.
 """
 
 from __future__ import annotations
@@ -28,6 +29,9 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 #: a new one ends an open one of the group
 CLOSES = {t: g for g in (frozenset(["p"]), frozenset(["li"]), frozenset(["dt", "dd"]), frozenset(["tr"]), frozenset(["td", "th"]), frozenset(["option"])) for t in g}
 NO_PARAGRAPH = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+#: their text belongs to the element around them
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li dd dt".split())
+LISTS = PARAGRAPHS | frozenset("ul ol dl".split())
 ASIDE_TAGS = frozenset("nav header footer aside form button select dialog menu svg canvas object video audio map fieldset head".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
 ASIDE_NAME = re.compile(
@@ -39,13 +43,16 @@ LAYOUT_NAME = re.compile(r"(?:^|[-_])(?:has|no|not|non|with|without|by|fixed|sti
 COMMENT_NAME = re.compile(r"(?:^|[-_])(?:comments?|commentlist|disqus|replies|reply|responses?)(?=$|[-_\d])", re.I)
 BONUS = {"article": 1.5, "main": 1.2}
 DECAY = 0.8
+#: share of its own best container's score that the host's path must have on a page
+LEAST_SHARE = 0.05
 
 
 class Node:
-    __slots__ = ("tag", "path", "parent", "aside", "link", "named", "score")
+    __slots__ = ("tag", "path", "parent", "aside", "link", "named", "score", "depth")
 
     def __init__(self, tag: str, path: str, parent: Node | None, aside: bool, link: bool, named: str = ""):
         self.tag, self.path, self.parent, self.aside, self.link, self.named, self.score = tag, path, parent, aside, link, named, 0.0
+        self.depth = 0 if parent is None else parent.depth + 1
 
 
 def aside_name(names: str) -> str:
@@ -202,13 +209,13 @@ def outside_named(found: list[tuple[Node, str, int]]) -> list[tuple[Node, str, i
     return [b for b in found if not any(n.named and n not in holds for n in above(b[0]))]
 
 
-def score(page: str) -> list[tuple[Node, str]]:
+def score(page: str) -> list[tuple[Node, str, int]]:
     """The page's blocks outside set-aside regions; their containers get their scores."""
     found = []
     for node, text, links in outside_named(list(blocks(page))):
-        found.append((node, text))
+        found.append((node, text, links))
         gain = max(0, len(text) - 2 * links)
-        n = node.parent if node.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "li", "dd", "dt") else node
+        n = container_of(node)
         while n is not None:
             n.score += gain
             gain *= DECAY
@@ -216,11 +223,11 @@ def score(page: str) -> list[tuple[Node, str]]:
     return found
 
 
-def best_paths(found: list[tuple[Node, str]]) -> dict[str, float]:
+def best_paths(found: list[tuple[Node, str, int]]) -> dict[str, float]:
     """path -> score of all containers of a page."""
     votes: dict[str, float] = defaultdict(float)
     seen = set()
-    for node, _ in found:
+    for node, _, _ in found:
         n = node
         while n is not None and id(n) not in seen:
             seen.add(id(n))
@@ -234,10 +241,57 @@ def top_of(votes: dict[str, float]) -> str | None:
     return min(votes, key=lambda p: (-votes[p], len(p), p)) if votes else None
 
 
-def text_under(found: list[tuple[Node, str]], path: str | None) -> str:
-    """Blocks below elements of a path, in page order, joined by newlines."""
+def container_of(node: Node, also: frozenset[str] = frozenset()) -> Node:
+    """The element that a block's text belongs to: the parent of a paragraph or the like."""
+    n = node.parent if node.tag in PARAGRAPHS else node
+    while n.tag in also:
+        n = n.parent
+    return n
+
+
+def around(found: list[tuple[Node, str, int]], path: str, chosen: list[bool]) -> list[bool]:
+    """The chosen blocks, below elements of a path, and those that go on with them: titles, leads, text between parts.
+
+    The lowest element above that adds text is taken whole, unless what it adds is mostly links; of elements further
+    up, and of body and what is above it, only blocks that are the element's own, in no container beside the text.
+    """
+    over = {a for (n, _, _), c in zip(found, chosen, strict=True) if c for m in above(n) if m.path == path for a in above(m.parent)}
+    met: dict[int, list[tuple[int, Node]]] = defaultdict(list)
+    for k, (n, _, _) in enumerate(found):
+        if not chosen[k] and (meet := next((a for a in above(n) if a in over), None)):
+            met[meet.depth].append((k, meet))
+    out, refused, whole = list(chosen), [], False
+    for depth in sorted(met, reverse=True):
+        new = [k for k, _ in met[depth]]
+        tries = [[k for k, meet in met[depth] if container_of(found[k][0], LISTS) is meet]]
+        if not whole and met[depth][0][1].tag not in ("root", "html", "body"):
+            tries.insert(0, refused + new)
+        more = next((t for t in tries if t and 2 * sum(found[k][2] for k in t) <= sum(len(found[k][1]) for k in t)), None)
+        if more is None:
+            refused += new
+            continue
+        whole = True
+        for k in more:
+            out[k] = True
+    return out
+
+
+def text_under(found: list[tuple[Node, str, int]], path: str | None) -> str:
+    """Blocks below elements of a path and around them, in page order, joined by newlines."""
     inner = f"{path}>"
-    return "\n".join(t for n, t in found if path is not None and (n.path == path or n.path.startswith(inner)))
+    chosen = [path is not None and (n.path == path or n.path.startswith(inner)) for n, _, _ in found]
+    if path is not None and not all(chosen):
+        chosen = around(found, path, chosen)
+    return "\n".join(t for (_, t, _), c in zip(found, chosen, strict=True) if c)
+
+
+def main_text(found: list[tuple[Node, str, int]], path: str | None) -> str:
+    """A page's text by its host's path, or by its own best container if that path holds too little of the page."""
+    votes = best_paths(found)
+    own = top_of(votes)
+    if own is not None and votes.get(path, 0.0) < LEAST_SHARE * votes[own]:
+        path = own
+    return text_under(found, path)
 
 
 def host_of(url: str | None) -> str:
@@ -285,9 +339,7 @@ def extract(pages: DataFrame, broadcast_hosts: int = 100_000) -> DataFrame:
         def work(batch):
             texts = []
             for page, path in zip(strings(batch, "html"), strings(batch, "path"), strict=True):
-                found = score(page or "")
-                text = text_under(found, path)
-                texts.append(text or text_under(found, top_of(best_paths(found))))
+                texts.append(main_text(score(page or ""), path))
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
         return work

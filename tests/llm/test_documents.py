@@ -241,6 +241,27 @@ def test_named_regions_stay_out():
     assert text_of(f"<body><div class='post'><p>{LONG}</p></div><div class='comments'><p>{LONG * 5}</p></div>") == LONG
 
 
+def test_text_around_the_container():
+    """Title, lead and text between parts belong to the text; link lists and other containers further up do not."""
+    body = f"<p>{LONG}</p>" * 8
+    want = "\n".join(["Title", "Lead."] + [LONG] * 8)
+    assert text_of(f"<body><div class='post'><h1>Title</h1><p>Lead.</p><div class='body'>{body}</div></div>") == want
+    assert text_of(f"<body><h1>Title</h1><p>Lead.</p><div class='body'>{body}</div><div class='x'><p>Other.</p></div>") == want
+    assert text_of(f"<body><div class='all'><h1>Title</h1><div class='post'><p>Lead.</p><div class='body'>{body}</div></div><div class='x'><p>Other.</p></div></div>") == want
+    assert text_of(f"<body><div class='post'><h1>Title</h1><p>Lead.</p><div class='body'>{body}</div><div class='tags'>{'<a>one tag of many</a> ' * 9}</div></div>") == want
+    parts = "".join(f"<div class='part'>{body}</div><p>Between {i}.</p>" for i in range(3))
+    assert text_of(f"<body><div class='post'>{parts}</div>") == "\n".join(["\n".join([LONG] * 8 + [f"Between {i}."]) for i in range(3)])
+
+
+def test_two_layouts_on_a_host(spark):
+    """A page with one short line under the host's path is read by its own container."""
+    usual = f"<body><div class='a'><p>{LONG}</p></div>"
+    other = f"<body><div class='a'><p>By Ann.</p></div><div class='b'>{f'<p>{LONG}</p>' * 20}</div>"
+    rows = [(i, f"http://h.example/{i}", usual) for i in range(5)] + [(5, "http://h.example/5", other)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: LONG for i in range(5)} | {5: "\n".join([LONG] * 20)}
+
+
 def test_consensus(spark):
     """A page whose own best container is another than its host's is read by the host's path."""
     usual = "<body><div class='c1'><p>{0} words of the main text, as on all pages here.</p></div><div class='x'><p>{0} short</p></div>"
