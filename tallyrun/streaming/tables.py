@@ -1,7 +1,8 @@
 """A feature table over a stream of events.
 
 The chain and the `where` conditions run as Spark columns; each entity's folds are kept in the state store
-under its key, which the checkpoint makes durable. Each micro-batch gives the touched entities' rows.
+under its key, which the checkpoint makes durable. Each micro-batch gives the touched entities' rows. A source with
+a dedupe key gets a step of its own before them, which keeps the expiry of each key's last accepted event.
 """
 
 from __future__ import annotations
@@ -15,11 +16,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T_
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions.expr import condition
 from ..functions.types import millis, schema_of
-from ..model import Table, duration_ms
+from ..model import DEDUPE_WINDOW, Table, duration_ms
 from ..operators import chain
 from ..operators.compile import SEQ, T
 from .folds import fold_of, input_of
@@ -40,6 +42,44 @@ def plain(v):
     return v.item() if hasattr(v, "item") else v
 
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class Dedupe(StatefulProcessor):
+    """Events whose key was not accepted less than `window` ago, as planner.dedupe() has it; without a window, once."""
+
+    def __init__(self, window: int | None):
+        self.window = window
+
+    def init(self, handle) -> None:
+        self.until = handle.getValueState("until", "until long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        if key[0] is None:
+            yield from rows
+            return
+        until = self.until.get()[0] if self.until.exists() else None
+        before = until
+        for r in sorted(rows, key=lambda r: (r[T], r[SEQ] is not None, 0 if r[SEQ] is None else r[SEQ])):
+            if until is None or self.window is not None and r[T] >= until:
+                until = r[T] + (self.window or 0)
+                yield r
+        if until != before:
+            self.until.update((until,))
+
+    def close(self) -> None:
+        pass
+
+
+def dedupe(df: DataFrame, key: str, window: int | None) -> DataFrame:
+    """planner.dedupe() for a stream. Spark chains it with the folds only on RocksDB state, which is set for the session."""
+    df.sparkSession.conf.set(_PROVIDER, _ROCKS)
+    # events without a key all stay and need no state, so they are spread
+    spread = df.withColumn("_tr_spread", F.when(F.col(key).isNull(), F.pmod(F.xxhash64(T, SEQ), F.lit(1024))))
+    return spread.groupBy(key, "_tr_spread").transformWithState(Dedupe(window), spread.schema, "Update", "None").drop("_tr_spread")
+
+
 def stream_table(events: DataFrame, table: Table, time: str, ties: tuple[str, ...] = ()) -> DataFrame:
     """Streaming rows: the keys, `as_of` (time of the entity's last event, ms), `events` and `features` (JSON as of then).
 
@@ -48,7 +88,10 @@ def stream_table(events: DataFrame, table: Table, time: str, ties: tuple[str, ..
     t = F.col(time) if dict(events.dtypes)[time] == "bigint" else millis(F.col(time))
     seq = F.struct(*ties).cast("string") if len(ties) > 1 else F.col(ties[0]) if ties else F.lit(0)
     known = schema_of(events.schema)
-    df, schema = chain.apply(events.withColumn(T, t).withColumn(SEQ, seq), table.steps, known)
+    timed = events.withColumn(T, t).withColumn(SEQ, seq)
+    if table.root.dedupe_key:
+        timed = dedupe(timed, table.root.dedupe_key, duration_ms(table.root.dedupe_window or DEDUPE_WINDOW))
+    df, schema = chain.apply(timed, table.steps, known)
     keys = list(table.keys) or ["_tr_all"]
     if not table.keys:
         df = df.withColumn("_tr_all", F.lit(1))

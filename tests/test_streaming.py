@@ -3,6 +3,7 @@
 import json
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyrun.functions import col
@@ -39,3 +40,23 @@ def test_stream_matches_batch(spark, tmp_path):
         for name, v in want.items():
             if name != "key":
                 assert have[name] == v or (isinstance(v, list) and len(v) == len(have[name])) or math.isclose(have[name], v, rel_tol=1e-9), name
+
+
+@pytest.mark.parametrize("window", ["1m", None, "forever"])
+def test_stream_drops_resent_events(spark, tmp_path, window):
+    """Resent events, in one micro-batch and over several, count as in the batch plan; events without a key all count."""
+    source = EventSource("E", E.schema | {"id": "str"}, dedupe_key="id", dedupe_window=window)
+    features = {"n": f.count(), "last": f.last("seq")}
+    rows = [(i * 5000, i, f"k{i % 2}", [None, math.nan, 1.5][i % 3] if i > 30 else float(i), None if i % 7 == 0 else f"e{i % 9}") for i in range(50)]
+    rows += [(t, seq + 100, k, x, e) for t, seq, k, x, e in rows[45:]]
+    schema = "t long, seq long, key string, x double, id string"
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    table = Table("T", ("key",), source, (), features)
+    for part in (rows[:20], rows[20:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+        done = stream_table(spark.readStream.schema(schema).parquet(src), table, "t", ("seq",))
+        done.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).foreachBatch(lambda df, n: df.write.mode("append").parquet(out)).start().awaitTermination()
+    latest = spark.read.parquet(out).groupBy("key").agg(F.max_by("features", "events").alias("features")).collect()
+    want = {r.key: r.asDict() for r in feature_table(Stream(spark.createDataFrame(rows, schema), "t", ("seq",)), ("key",), features, source=source).collect()}
+    assert {r.key: json.loads(r.features)["n"] for r in latest} == {k: r["n"] for k, r in want.items()}
+    assert {r.key: json.loads(r.features)["last"] for r in latest} == {k: r["last"] for k, r in want.items()}
