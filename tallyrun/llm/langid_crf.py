@@ -313,15 +313,23 @@ class Labeller:
         return [(w.decode("utf-8", "replace"), self.model.langs[k]) for w, k in zip(words, p.argmax(axis=1), strict=True)]
 
 
+def draw_bound(wanted: int, n: int) -> int:
+    """The greatest of 2^63 hash values up to which about `wanted` of n rows lie; all of them if there are no more."""
+    return (1 << 63) * min(wanted, n) // n - 1
+
+
 def training_sample(docs: DataFrame, how: Training, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
-    """Up to about `docs_per_lang` labelled documents of each language, chosen by a hash of the id, never more than twice as many in all."""
+    """Up to about `docs_per_lang` labelled documents of each language, chosen by a hash of the id, never more than twice as many in all.
+
+    Only rows that can be drawn (with a text of up to `longest_doc` characters) count."""
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang")).filter("lang is not null")
+    rows = rows.filter(F.length("text") <= how.longest_doc)
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row for each language
     if not sizes:
         return []
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1_000_000))
-    bound = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, int(1_000_000 * min(1.0, how.docs_per_lang / n)))])
-    chosen = rows.filter(F.length("text") <= how.longest_doc).withColumn("draw", draw).filter(F.col("draw") < bound[F.col("lang")])
+    draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("langid")), 1)
+    bound = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, draw_bound(how.docs_per_lang, n))])
+    chosen = rows.withColumn("draw", draw).filter(F.col("draw") <= bound[F.col("lang")])
     found = chosen.orderBy("draw", "doc_id", "text").limit(2 * how.docs_per_lang * len(sizes)).collect()
     return [(r.lang, r.text) for r in found]
 

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tallyrun.llm.html_extract import best_paths, extract, host_of, score, text_under, top_of
-from tallyrun.llm.langid_crf import Labeller, Training, fit_crf, forward_backward, identify, keep_identified
+from tallyrun.llm.langid_crf import Labeller, Training, draw_bound, fit_crf, forward_backward, identify, keep_identified, training_sample
 from tallyrun.llm.line_rules import LineRules, clean_lines, judge, keep_clean, repeat_words
 from tallyrun.llm.media_iso import MediaError, box, describe, full, media_columns, pad_payload, parse_media, read_media, read_samples, write_media
 from tallyrun.llm.quality_qda import STATISTICS, fit_moments, quality, statistics
@@ -112,6 +112,15 @@ def test_identify(make_docs):
     assert identify(make_docs(rows).limit(0)).count() == 0
 
 
+def test_training_sample(make_docs):
+    """Rows that cannot be drawn do not count; the share drawn is never none, whatever the number of rows."""
+    rows = [(i, None if i % 10 else f"der hund {i}", "de") for i in range(4000)] + [(5000 + i, "the " * 100 if i % 10 else f"the dog {i}", "en") for i in range(4000)]
+    got = training_sample(make_docs(rows), Training(docs_per_lang=200, longest_doc=100), "doc_id", "text", "lang")
+    assert all(150 < sum(lang == k for lang, _ in got) < 250 for k in ("de", "en"))
+    for n in (1, 299, 300, 301, 10**6, 300_000_001, 10**12):
+        assert draw_bound(300, n) < 1 << 63 and abs((draw_bound(300, n) + 1) / 2**63 * n - min(300, n)) < 1e-3
+
+
 def test_keep_identified(make_docs):
     model = fit_crf([(k, v) for k, v in LANGS.items() for _ in range(20)], Training(steps=25))
     docs = make_docs([LANGS["en"], "123", None])
