@@ -16,7 +16,7 @@ from tallyrun.llm.packing import pack
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a letter and those without a language that leads go."""
+    """Texts without a letter and those whose words fit no learned language go."""
     return keep_identified(docs, train(docs))
 
 

@@ -287,7 +287,12 @@ class Labeller:
         return self.table[np.array(at, np.int64)]
 
     def label(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        out: list[tuple[str, float]] = [(UNDETERMINED, 0.0)] * len(texts)
+        """Each text's language and its share of the words' posterior mass."""
+        return [(lang, share) for lang, share, _ in self.judge(texts)]
+
+    def judge(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
+        """Each text's language, its share, and the mean over words of the posterior of a word's own best language."""
+        out: list[tuple[str, float, float]] = [(UNDETERMINED, 0.0, 0.0)] * len(texts)
         for lo, hi in by_bytes([len(t or "") for t in texts], 1 << 20):
             which, words = [], []
             for i in range(lo, hi):
@@ -299,9 +304,11 @@ class Labeller:
             sizes = np.array([len(w) for w in words])
             emit = self.emissions([w for ws in words for w in ws])
             posterior = forward_backward(emit, sizes, self.model.transitions, self.model.start)
-            shares = np.add.reduceat(posterior, np.concatenate([[0], np.cumsum(sizes)[:-1]]), axis=0) / sizes[:, None]
-            for i, best, row in zip(which, shares.argmax(axis=1), shares, strict=True):
-                out[i] = (self.model.langs[best], float(min(1.0, row[best])))
+            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            shares = np.add.reduceat(posterior, starts, axis=0) / sizes[:, None]
+            sure = np.add.reduceat(posterior.max(axis=1), starts) / sizes
+            for i, best, row, s in zip(which, shares.argmax(axis=1), shares, sure, strict=True):
+                out[i] = (self.model.langs[best], float(min(1.0, row[best])), float(min(1.0, s)))
         return out
 
     def spans(self, text: str) -> list[tuple[str, str]]:
@@ -365,15 +372,17 @@ def predict(docs: DataFrame, model: CRF | None, folds: int = 4, held: int = 2, i
 
 
 def keep_identified(docs: DataFrame, model: CRF | None, least: float = 0.4, text_col: str = "text") -> DataFrame:
-    """The rows, all columns unchanged, whose text has a language with a share of at least `least` of its words."""
+    """The rows, all columns unchanged, whose text is identified: its words' best posteriors have a mean of at least `least`.
+
+    How many languages a text switches between does not matter."""
     packed = pickle.dumps(model)
 
     def make():
         labeller = _labeller(packed)
 
         def work(batch):
-            found = labeller.label(strings(batch, text_col)) if labeller else [(UNDETERMINED, 0.0)] * batch.num_rows
-            yield batch.filter(pa.array([lang != UNDETERMINED and share >= least for lang, share in found]))
+            found = labeller.judge(strings(batch, text_col)) if labeller else [(UNDETERMINED, 0.0, 0.0)] * batch.num_rows
+            yield batch.filter(pa.array([lang != UNDETERMINED and sure >= least for lang, _, sure in found], pa.bool_()))
 
         return work
 

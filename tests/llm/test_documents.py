@@ -127,6 +127,15 @@ def test_keep_identified(make_docs):
     assert [r.text for r in keep_identified(docs, model).collect()] == [LANGS["en"]]
 
 
+def test_keep_texts_in_several_languages(make_docs):
+    """A text that switches evenly between three languages has no share of 0.4, yet each of its words is identified."""
+    model = fit_crf([(k, v) for k, v in LANGS.items() for _ in range(20)], Training(steps=25))
+    text = " ".join([LANGS["en"].rsplit(" ", 1)[0], LANGS["de"], LANGS["fr"].rsplit(" ", 1)[0]] * 4)
+    (lang, share), (_, _, sure) = Labeller(model).label([text])[0], Labeller(model).judge([text])[0]
+    assert lang in LANGS and share < 0.4 and sure > 0.8
+    assert [r.text for r in keep_identified(make_docs([text, "123"]), model).collect()] == [text]
+
+
 # quality
 
 
