@@ -43,15 +43,18 @@ def frequent_pairs(keys: np.ndarray, least: int, most: int) -> np.ndarray:
     return values[np.lexsort((values, -counts))[:most]]
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, vocab: int, rounds: int = 8, per_round: int = 2048, least: int = 8, table_bits: int = 18) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rules, symbols, kept positions of the first id of each symbol). `ends` marks the last id of each document."""
-    width = 16 if vocab + rounds * per_round <= 1 << 16 else 32
-    wide = np.uint32 if width == 16 else np.uint64
+def compress(ids: np.ndarray, ends: np.ndarray, vocab: int, rounds: int | None = None, per_round: int = 2048, least: int = 8, table_bits: int = 18) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rules, symbols, kept positions of the first id of each symbol). `ends` marks the last id of each document.
+
+    Rounds go on until no pair is frequent enough, or for `rounds`. Symbols widen once 16 bits may not hold the next round's."""
+    width, wide = 16, np.uint32
     seq, last, rules, at = ids.astype(wide), ends.copy(), [], np.arange(len(ids))
     symbol = vocab
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    while len(seq) > 1 and rounds != 0:
+        rounds = rounds and rounds - 1
+        if width == 16 and symbol + per_round > 1 << 16:
+            width, wide = 32, np.uint64
+            seq = seq.astype(wide)
         keys = seq[:-1] << wide(width) | seq[1:]
         inside = ~last[:-1]
         pairs = frequent_pairs(keys[inside], least, min(per_round, (1 << width) - symbol))

@@ -2,6 +2,7 @@
 
 import hashlib
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -142,6 +143,20 @@ def test_shards_round_trip():
         Shard(data[:-5] + bytes([data[-5] ^ 1]) + data[-4:])
 
 
+@pytest.mark.parametrize("vocab, per_round, table_bits", [(300, 64, 18), (300, 64, 4), ((1 << 16) - 100, 64, 18)])
+def test_rounds_go_on_until_no_pair_is_frequent(vocab, per_round, table_bits):
+    """Also where pairs share cells of the hash table, and where symbols outgrow 16 bits on the way."""
+    rng = np.random.default_rng(2)
+    stock = [rng.integers(0, 300, size=40) for _ in range(60)]
+    parts = [np.concatenate([stock[k] for k in rng.integers(0, 60, size=n)]).astype("<u4") for n in (3, 200, 500, 1)]
+    s = Shard(write_shard(list(range(4)), parts, vocab, per_round=per_round, table_bits=table_bits))
+    assert all(s.document(k).tolist() == p.tolist() for k, p in enumerate(parts))
+    left = Counter()
+    for a, b in zip(s.symbol_at[:-1], s.symbol_at[1:], strict=True):
+        left.update(zip(s.symbols[a : b - 1].tolist(), s.symbols[a + 1 : b].tolist(), strict=True))
+    assert max(left.values()) < 8
+
+
 def test_wide_symbols():
     ids = np.tile(np.array([70_000, 70_001, 3], "<u4"), 200)
     assert Shard(write_shard([1], [ids], 80_000)).document(0).tolist() == ids.tolist()
