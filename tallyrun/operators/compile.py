@@ -1,9 +1,10 @@
 """Features compiled to Spark plans.
 
 All features of a table share one plan: masked input columns, then window columns over one
-(keys, arrival) order, then one aggregation; features that first count per value or per time bucket have
-a plan of two aggregations each, joined on the keys. A feature's `where` is a mask, never a filter, so
-that every entity with an event has a row.
+(keys, arrival) order, then one aggregation. Features that first count per value or per time bucket share a second
+reading: an event gives a row for each kind of value that is counted, rows are counted per (keys, kind, value), and one
+aggregation of the counts, joined on the keys, gives all of them. A feature's `where` is a mask, never a filter, so that
+every entity with an event has a row.
 """
 
 from __future__ import annotations
@@ -46,6 +47,78 @@ class Ordered:
     group: tuple[str, ...] = ()
 
 
+class Counts:
+    """Counts per (keys, kind, value), and the aggregates over them that give features.
+
+    A kind is a column of values that are counted where it is not null; equal columns share one. Values of a
+    type lie in a column of their own. What a feature needs beside counts is made only if asked for: `rank_first` is a
+    value's place in order of its first event, `rank_count` by count, `below` how many smaller or equal ones there are, and
+    `total` how many in all.
+    """
+
+    KIND, N, FIRST = "_tr_kind", "_tr_n", "_tr_f"
+
+    def __init__(self, keys: list[str]):
+        self.keys = keys
+        self.kinds: dict[str, Column] = {}
+        self.wanted: dict[str, Callable[[], Column]] = {}
+        self.needs: set[str] = set()
+        self.slots: dict[str, str] = {}
+
+    def kind(self, x: Column) -> str:
+        found = next((k for k, c in self.kinds.items() if str(c) == str(x)), f"k{len(self.kinds)}")
+        self.kinds.setdefault(found, x)
+        return found
+
+    def on(self, kind: str) -> Column:
+        return F.col(self.KIND) == int(kind[1:])
+
+    def value(self, kind: str) -> Column:
+        return F.col(self.slots[kind])
+
+    def need(self, what: str) -> Column:
+        self.needs.add(what)
+        return F.col(f"_tr_{what}")
+
+    def put(self, make: Callable[[], Column]) -> Column:
+        """An aggregate over the counts; it is made once all kinds are known."""
+        name = f"_tr_s{len(self.wanted)}"
+        self.wanted[name] = make
+        return F.col(name)
+
+    def table(self, df: DataFrame, arrival: Column) -> DataFrame:
+        kinds = list(self.kinds.items())
+        types = [f.dataType for f in df.select(*[x.alias(k) for k, x in kinds]).schema.fields]
+        names = {t.simpleString(): f"_tr_v{i}" for i, t in enumerate(types)}
+        self.slots = {k: names[t.simpleString()] for (k, _), t in zip(kinds, types, strict=True)}
+        values = list(dict.fromkeys(names.values()))
+        of = {names[t.simpleString()]: t for t in types}
+
+        def row(k: str, x: Column) -> Column:
+            return F.struct(F.lit(int(k[1:])).alias(self.KIND), *[(x if v == self.slots[k] else F.lit(None).cast(of[v])).alias(v) for v in values])
+
+        aggs = {name: make() for name, make in self.wanted.items()}
+        first = [arrival.alias("_tr_arrival")] if "rank_first" in self.needs else []
+        if len(kinds) == 1:
+            (k, x), own = kinds[0], [F.col(f"`{c}`") for c in self.keys]
+            rows = df.filter(x.isNotNull()).select(*own, F.lit(0).alias(self.KIND), x.alias(self.slots[k]), *first)
+        else:
+            each = F.filter(F.array(*[F.when(x.isNotNull(), row(k, x)) for k, x in kinds]), lambda e: e.isNotNull())
+            rows = df.select(*[F.col(f"`{c}`") for c in self.keys], *first, F.explode(each).alias("_tr_e"))
+            rows = rows.select(*[F.col(f"`{c}`") for c in self.keys], "_tr_e.*", *(["_tr_arrival"] if first else []))
+        counts = rows.groupBy(*self.keys, self.KIND, *values).agg(F.count("*").alias(self.N), *([F.min("_tr_arrival").alias(self.FIRST)] if first else []))
+        whole = Window.partitionBy(*self.keys, self.KIND)
+        made = {
+            "rank_first": lambda: F.row_number().over(whole.orderBy(self.FIRST)),
+            "rank_count": lambda: F.row_number().over(whole.orderBy(F.desc(self.N), *values)),
+            "below": lambda: F.sum(self.N).over(whole.orderBy(*values)),
+            "total": lambda: F.sum(self.N).over(whole),
+        }
+        for need in sorted(self.needs):
+            counts = counts.withColumn(f"_tr_{need}", made[need]())
+        return counts.groupBy(*self.keys).agg(*[c.alias(n) for n, c in aggs.items()])
+
+
 class Plan:
     """Columns by level, aggregates, results and side plans of one table."""
 
@@ -54,6 +127,7 @@ class Plan:
         self.levels: list[dict[str, Column | Ordered]] = [{} for _ in range(9)]
         self.names: dict[tuple, str] = {}
         self.aggs: dict[str, Column] = {}
+        self.counts = Counts(keys)
         self.sides: list[tuple[str, Callable[[DataFrame], DataFrame]]] = []
         self.results: dict[str, Column] = {}
         self.arrival = F.struct(T, SEQ)
@@ -78,7 +152,7 @@ class Plan:
         return F.col(self.names[key])
 
     def side(self, make: Callable[[DataFrame, str], DataFrame]) -> Column:
-        name = f"_tr_s{len(self.sides)}"
+        name = f"_tr_p{len(self.sides)}"
         self.sides.append((name, lambda df: make(df, name)))
         return F.col(name)
 
@@ -239,10 +313,8 @@ def _n_unique(p, f):
     if f.params.get("approx"):
         return p.total(("approx_unique", str(x)), lambda: F.approx_count_distinct(x, 0.016))
 
-    def make(df, name):
-        return df.filter(x.isNotNull()).groupBy(*p.keys, x.alias("_tr_v")).agg(F.lit(1).alias("_tr_1")).groupBy(*p.keys).agg(F.count("_tr_1").alias(name))
-
-    return F.coalesce(p.side(make), F.lit(0).cast("long"))
+    c, kind = p.counts, p.counts.kind(x)
+    return F.coalesce(c.put(lambda: F.count(F.when(c.on(kind), 1))), F.lit(0).cast("long"))
 
 
 @op("quantile")
@@ -251,7 +323,16 @@ def _quantile(p, f):
     finite = F.when(~F.isnan(x) & (F.abs(x) < math.inf), x)
     if f.params.get("approx"):
         return p.total(("approx_quantile", str(x), f.params["q"]), lambda: F.percentile_approx(finite, f.params["q"], 10_000))
-    return p.total(("quantile", str(x), f.params["q"]), lambda: F.percentile(finite, f.params["q"]))
+    # the value that the place q (n - 1) falls on, or between: counts and running sums of values, which spill to disk
+    c, q = p.counts, f.params["q"]
+    kind = c.kind(finite)
+    below, total = c.need("below"), c.need("total")
+    place = q * (total - 1)
+    n = c.put(lambda: F.max(F.when(c.on(kind), total)))
+    low = c.put(lambda: F.min(F.when(c.on(kind) & (below > F.floor(place)), c.value(kind))))
+    high = c.put(lambda: F.min(F.when(c.on(kind) & (below > F.ceil(place)), c.value(kind))))
+    at = q * (n - 1)
+    return F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high)
 
 
 @op("top_k")
@@ -261,14 +342,10 @@ def _top_k(p, f):
         return F.array().cast("array<struct<value:string,count:bigint>>")
     x = p.raw(f, True)
 
-    def make(df, name):
-        counts = df.filter(x.isNotNull()).groupBy(*p.keys, x.alias("_tr_v")).agg(F.count("*").alias("_tr_n"))
-        place = F.row_number().over(Window.partitionBy(*p.keys).orderBy(F.desc("_tr_n"), "_tr_v"))
-        best = counts.withColumn("_tr_r", place).filter(F.col("_tr_r") <= f.params.get("k", 10))
-        rows = F.array_sort(F.collect_list(F.struct("_tr_r", "_tr_v", "_tr_n")))
-        return best.groupBy(*p.keys).agg(F.transform(rows, lambda s: F.struct(s["_tr_v"].alias("value"), s["_tr_n"].alias("count"))).alias(name))
-
-    c = p.side(make)
+    counts, k = p.counts, p.counts.kind(x)
+    rank, n = counts.need("rank_count"), F.col(Counts.N)
+    best = counts.put(lambda: F.array_sort(F.collect_list(F.when(counts.on(k) & (rank <= f.params.get("k", 10)), F.struct(rank.alias("r"), counts.value(k).alias("v"), n.alias("n"))))))
+    c = F.transform(best, lambda s: F.struct(s["v"].alias("value"), s["n"].alias("count")))
     return F.coalesce(c, F.filter(c, lambda s: F.lit(False)), F.array().cast(f"array<struct<value:{_sql_type(kind)},count:bigint>>"))
 
 
@@ -284,40 +361,33 @@ def _bloom_member(p, f):
     return p.total(("any", str(x)), lambda: F.count(x)) > 0
 
 
-def _categories(df, p, x):
-    """Counts per value, and the values' places in order of arrival."""
-    counts = df.filter(x.isNotNull()).groupBy(*p.keys, x.alias("_tr_v")).agg(F.count("*").alias("_tr_n"), F.min(p.arrival).alias("_tr_f"))
-    return counts.withColumn("_tr_r", F.row_number().over(Window.partitionBy(*p.keys).orderBy("_tr_f")))
-
-
 @op("entropy")
 def _entropy(p, f):
     if p.kind(f.field) in ("bytes", "json"):
         return F.lit(0.0)
-    x = p.raw(f, True)
-
-    def make(df, name):
-        counts = _categories(df, p, x).filter(F.col("_tr_r") <= MAX_CATEGORIES)
-        n = F.sum("_tr_n")
-        # -sum c/n log2 c/n = log2 n - sum c log2 c / n
-        return counts.groupBy(*p.keys).agg(F.greatest(F.lit(0.0), F.log2(n.cast("double")) - F.sum(F.col("_tr_n") * F.log2(F.col("_tr_n").cast("double"))) / n).alias(name))
-
-    return F.coalesce(p.side(make), F.lit(0.0))
+    c, kind = p.counts, p.counts.kind(p.raw(f, True))
+    kept = c.need("rank_first") <= MAX_CATEGORIES
+    n = F.col(Counts.N)
+    total = c.put(lambda: F.sum(F.when(c.on(kind) & kept, n)))
+    logs = c.put(lambda: F.sum(F.when(c.on(kind) & kept, n * F.log2(n.cast("double")))))
+    # -sum c/n log2 c/n = log2 n - sum c log2 c / n
+    return F.when(total > 0, F.greatest(F.lit(0.0), F.log2(total.cast("double")) - logs / total)).otherwise(F.lit(0.0))
 
 
 @op("event_type_mix")
 def _event_type_mix(p, f):
-    x = p.text(f)
+    c, kind = p.counts, p.counts.kind(p.text(f))
     allowed = f.params.get("categories")
-    empty = F.create_map().cast("map<string,double>")
-
-    def make(df, name):
-        counts = _categories(df, p, x)
-        kept = F.col("_tr_v").isin(*allowed) if allowed else F.lit(False) if allowed is not None else F.col("_tr_r") <= f.params.get("max_categories", 256)
-        both = counts.groupBy(*p.keys).agg(F.sum("_tr_n").alias("_tr_all"), F.array_sort(F.collect_list(F.when(kept, F.struct("_tr_v", "_tr_n")))).alias("_tr_l"))
-        return both.select(*p.keys, F.map_from_entries(F.transform("_tr_l", lambda s: F.struct(s["_tr_v"], s["_tr_n"] / F.col("_tr_all")))).alias(name))
-
-    return F.coalesce(p.side(make), empty)
+    n = F.col(Counts.N)
+    if allowed is None:
+        rank = c.need("rank_first")
+        kept = lambda: rank <= f.params.get("max_categories", 256)
+    else:
+        kept = lambda: c.value(kind).isin(*allowed) if allowed else F.lit(False)
+    total = c.put(lambda: F.sum(F.when(c.on(kind), n)))
+    held = c.put(lambda: F.array_sort(F.collect_list(F.when(c.on(kind) & kept(), F.struct(c.value(kind).alias("v"), n.alias("n"))))))
+    shares = F.map_from_entries(F.transform(held, lambda s: F.struct(s["v"], s["n"] / total)))
+    return F.coalesce(shares, F.create_map().cast("map<string,double>"))
 
 
 # points and lists -------------------------------------------------------------------------------------
@@ -540,11 +610,8 @@ def _inter_arrival_stats(p, f):
 def _burst_count(p, f):
     t, size = _at(p, f), duration_ms(f.params["sub_window"])
 
-    def make(df, name):
-        counts = df.filter(t.isNotNull()).groupBy(*p.keys, F.floor(t / size).alias("_tr_b")).agg(F.count("*").alias("_tr_n"))
-        return counts.groupBy(*p.keys).agg(F.max("_tr_n").alias(name))
-
-    return F.coalesce(p.side(make), F.lit(0).cast("long"))
+    c, kind = p.counts, p.counts.kind(F.floor(t / size).cast("long"))
+    return F.coalesce(c.put(lambda: F.max(F.when(c.on(kind), F.col(Counts.N)))), F.lit(0).cast("long"))
 
 
 @op("delta_from_prev")
@@ -638,12 +705,10 @@ def _hour_of_day_histogram(p, f):
 def _dow_hour_histogram(p, f):
     t = _at(p, f)
 
-    def make(df, name):
-        day = F.pmod(F.floor(t / 86_400_000) + 3, F.lit(7).cast("long"))
-        counts = df.filter(t.isNotNull()).groupBy(*p.keys, (day * 24 + _hour(t)).alias("_tr_h")).agg(F.count("*").alias("_tr_n"))
-        return counts.groupBy(*p.keys).agg(F.map_from_entries(F.collect_list(F.struct("_tr_h", "_tr_n"))).alias(name))  # 168 entries at most
-
-    got = p.side(make)
+    day = F.pmod(F.floor(t / 86_400_000) + 3, F.lit(7).cast("long"))
+    c, kind = p.counts, p.counts.kind((day * 24 + _hour(t)).cast("long"))
+    # 168 entries at most
+    got = F.map_from_entries(c.put(lambda: F.collect_list(F.when(c.on(kind), F.struct(c.value(kind).alias("h"), F.col(Counts.N).alias("n"))))))
     names = F.array(*[F.lit(f"{d}-{h:02d}") for d in DAYS for h in range(24)])
     n = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(167).cast("long")), lambda i: F.coalesce(F.element_at(got, i), F.lit(0).cast("long")))
     entries = F.array_sort(F.arrays_zip(names.alias("k"), n.alias("v")))

@@ -380,12 +380,56 @@ def _packs() -> None:
                     out = out.withColumn(c, _top_text(F.col(c)))
                 elif t.startswith("array"):
                     out = out.withColumn(c, _list_text(F.col(c)))
+                elif c in ("speed", "path"):
+                    out = out.withColumn(c, F.round(F.col(c) + SHIFT, 3))
             return rounded(out)
 
         _QUERIES[f"pack_{name}"] = query
-    medium = f"SELECT user_id, count(*) AS n, {r6('sum(value)')} AS sum, {r6('avg(value)')} AS mean, min(value) AS min, max(value) AS max FROM e GROUP BY user_id"
-    _SQL["pack_small"] = f"WITH {EVENTS_SQL} SELECT user_id, count(*) AS n FROM e GROUP BY user_id"
-    _SQL["pack_medium"] = f"WITH {EVENTS_SQL} {medium}"
+    for name, (columns, parts) in _pack_sql().items():
+        joins = " ".join(f"LEFT JOIN ({q}) {p} USING (user_id)" for p, q in parts.items())
+        _SQL[f"pack_{name}"] = f"WITH {EVENTS_SQL}, b AS (SELECT user_id{columns and ', ' + columns} FROM e GROUP BY user_id) SELECT * FROM b {joins}"
+
+
+def _pack_sql() -> dict[str, tuple[str, dict[str, str]]]:
+    """Per pack: aggregates over e, and queries of (user_id, features) for what a single aggregate cannot give."""
+    both = ", ".join(f"{r6(f'{agg}({c})') if op in ('sum', 'mean') else f'{agg}({c})'} AS {name}_{op}" for name, c in (("value", "value"), ("id", "event_id")) for op, agg in (("sum", "sum"), ("mean", "avg"), ("min", "min"), ("max", "max")))
+    lat = f"{r6('sum(lat)')} AS lat_sum, {r6('avg(lat)')} AS lat_mean, {r6('min(lat)')} AS lat_min, {r6('max(lat)')} AS lat_max"
+    large = f"count(*) AS n, {both}, {r6('var_samp(value)')} AS value_var, {r6('stddev_samp(value)')} AS value_std, {lat}"
+    hour = active(HOUR)
+    top = f"""SELECT u.user_id, coalesce(string_agg(b.k || ':' || b.n, ',' ORDER BY b.r), '') AS top FROM (SELECT DISTINCT user_id FROM e) u
+ LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, k) AS r FROM (SELECT user_id, k, count(*) AS n FROM e WHERE {hour} AND k IS NOT NULL GROUP BY ALL)) b ON u.user_id = b.user_id AND b.r <= 5 GROUP BY u.user_id"""
+    spread = f"""SELECT u.user_id, {r6('coalesce(greatest(h.h, 0.0), 0.0)')} AS spread FROM (SELECT DISTINCT user_id FROM e) u LEFT JOIN (SELECT user_id, -sum(p * log2(p)) AS h FROM
+ (SELECT user_id, n / sum(n) OVER (PARTITION BY user_id) AS p FROM (SELECT user_id, event_type, count(*) AS n FROM e WHERE {hour} GROUP BY ALL)) GROUP BY user_id) h USING (user_id)"""
+    seen = f"count(DISTINCT k) FILTER (WHERE {hour}) AS kinds, {r6(f'quantile_cont(value, 0.99) FILTER (WHERE {hour})')} AS p99, count(k) > 0 AS known"
+    ranked = "SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t DESC, event_id DESC) AS b FROM e"
+
+    def recent(n: int, more: str = "") -> str:
+        return f"SELECT user_id, coalesce(string_agg(CAST(value AS VARCHAR), ',' ORDER BY b DESC) FILTER (WHERE b <= {n}), '') AS recent{more} FROM ({ranked}) GROUP BY user_id"
+
+    rate = "(ln(2.0) / 60000.0)"
+    gaps = f"(SELECT *, lag(t) OVER ({W}) AS pt, lag(value) OVER ({W}) AS pv, lag(event_type) OVER ({W}) AS pe, max(t) OVER (PARTITION BY user_id) AS tl FROM e)"
+    ewma = f"""SELECT user_id, {r6("sum(al * value * exp(ca - cl))")} AS ewma FROM (SELECT *, sum(lw) OVER ({W}) AS cl, sum(lw) OVER (PARTITION BY user_id) AS ca FROM
+ (SELECT *, CASE WHEN pt IS NULL THEN 1.0 WHEN t > pt THEN 1 - exp(-{rate} * (t - pt)) ELSE 0.5 END AS al, CASE WHEN pt IS NULL THEN 0.0 WHEN t > pt THEN -{rate} * (t - pt) ELSE ln(0.5) END AS lw FROM {gaps})) GROUP BY user_id"""
+    ewvar = f"""WITH RECURSIVE o AS (SELECT *, row_number() OVER ({W}) AS r FROM e),
+ x(user_id, r, t, mean, m2) AS (SELECT user_id, r, t, value, CAST(0.0 AS DOUBLE) FROM o WHERE r = 1
+ UNION ALL SELECT o.user_id, o.r, greatest(x.t, o.t), x.mean + a.al * (o.value - x.mean), (1 - a.al) * x.m2 + a.al * (o.value - x.mean) * (o.value - (x.mean + a.al * (o.value - x.mean)))
+ FROM x JOIN o ON o.user_id = x.user_id AND o.r = x.r + 1, LATERAL (SELECT CASE WHEN o.t > x.t THEN 1 - exp(-{rate} * (o.t - x.t)) ELSE 0.0 END AS al) a)
+ SELECT user_id, {r6('greatest(arg_max(m2, r), 0.0)')} AS ewvar FROM x GROUP BY user_id"""
+    steps = f"""SELECT user_id, {r6(f'sum(value * exp(-{rate} * (tl - t)))')} AS decayed, {r6(f'sum(exp(-{rate} * (tl - t)))')} AS decayed_n, {r6('arg_max((value - pv) / (t - pt), (t, event_id)) FILTER (WHERE t > pt)')} AS rate,
+ {r6('CASE WHEN sum(t - pt) > 0 THEN sum(pv * (t - pt)) / sum(t - pt) ELSE arg_max(value, (t, event_id)) END')} AS twa, {r6('arg_max(value - pv, (t, event_id))')} AS delta, count(*) FILTER (WHERE pe IS NOT NULL AND pe <> event_type) AS changes FROM {gaps} GROUP BY user_id"""
+    line = f"{r6('regr_slope(value, (t - now) / 86400000.0) / 86400000.0')} AS trend, {r6('CASE WHEN var_samp(value) > 0 THEN (arg_max(value, (t, event_id)) - avg(value)) / stddev_samp(value) END')} AS z"
+    hops = f"(SELECT *, {_hav('pa', 'po', 'lat', 'lon')} AS km FROM (SELECT *, lag(lat) OVER ({W}) AS pa, lag(lon) OVER ({W}) AS po, lag(t) OVER ({W}) AS pt FROM e))"
+    # as for the single features, three digits are kept of lengths that come from doubles
+    path = f"SELECT user_id, round(coalesce(max(km / ((t - pt) / 3600000.0)) FILTER (WHERE t > pt), 0.0) + {SHIFT}, 3) AS speed, round(coalesce(sum(km), 0.0) + {SHIFT}, 3) AS path FROM {hops} GROUP BY user_id"
+    return {
+        "small": ("count(*) AS n", {}),
+        "medium": (f"count(*) AS n, {r6('sum(value)')} AS sum, {r6('avg(value)')} AS mean, min(value) AS min, max(value) AS max", {}),
+        "large": (large, {}),
+        "large_with_sketches": (f"{large}, {seen}", {"p": top, "q": spread}),
+        "ordinal": (f"count(*) AS n, {r6('sum(value)')} AS total, arg_min(value, (t, event_id)) AS first, arg_max(value, (t, event_id)) AS last, min(t) AS start, max(t) AS end, max(now) - min(t) AS age, count(*) AS run", {"p": recent(3, ", max(value) FILTER (WHERE b = 2) AS before")}),
+        "velocity": (line, {"p": ewma, "q": ewvar, "r": steps}),
+        "geo": ("", {"p": path, "q": recent(5)}),
+    }
 
 
 for _part in (_core, _points, _decay, _buffers, _places, _approximate, _row_operators, _expressions, _tables, _packs):
@@ -400,9 +444,14 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.withColumn("top", _top_text(F.col("top"))))
 
 
+FLAGSHIP_SQL = f"""WITH {EVENTS_SQL}, v AS (SELECT * FROM e WHERE value > 1), b AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS r FROM (SELECT user_id, event_type, count(*) AS n FROM v GROUP BY ALL))
+ SELECT v.user_id, count(*) AS n, count(*) FILTER (WHERE {W7}) AS week, {r6('sum(value)')} AS total, {r6(f'avg(value) FILTER (WHERE {W7})')} AS mean, {r6('count(*) FILTER (WHERE value > 100) / count(*)')} AS big_share,
+ arg_max(v.event_type, (t, event_id)) AS last, max(b.event_type || ':' || b.n) AS top FROM v JOIN b ON v.user_id = b.user_id AND b.r = 1 GROUP BY v.user_id"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES) | {"flagship": flagship}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(_SQL) | {"flagship": FLAGSHIP_SQL}

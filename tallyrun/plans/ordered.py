@@ -23,7 +23,8 @@ NOISE = 1e-13
 
 def add_parts(df: DataFrame, parts: int) -> DataFrame:
     """The part of each event: `parts` equal stretches of the whole time."""
-    low, high = df.agg(F.min(T)).scalar(), df.agg(F.max(T)).scalar()
+    span = df.agg(F.struct(F.min(T).alias("low"), F.max(T).alias("high"))).scalar()
+    low, high = span["low"], span["high"]
     return df.withColumn(PART, F.floor((F.col(T) - low) * parts / (high - low + 1)).cast("int"))
 
 

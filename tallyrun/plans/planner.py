@@ -106,10 +106,20 @@ def feature_table(stream: Stream, keys: Sequence[str], features: dict[str, Featu
         if windows := {n: c for n, c in level.items() if isinstance(c, Ordered)}:
             df = ordered.add(df, own, windows, bool(parts))
     base = df.groupBy(*own).agg(*[c.alias(n) for n, c in p.aggs.items()]) if p.aggs else df.select(*own).distinct()
+    if p.counts.kinds:
+        base = base.join(p.counts.table(df, arrival_of(df)), own, "left")
     for _, make in p.sides:
         base = base.join(make(df), own, "left")
     return base.select(*[F.col(f"`{k}`") for k in keys], *[c.alias(n) for n, c in results.items()])
 
 
+def arrival_of(df: DataFrame) -> Column:
+    """An event's place in order of arrival as one value; a number, which aggregates keep by hash, where the tie breaker is one."""
+    if dict(df.dtypes)[SEQ] != "bigint":
+        return F.struct(T, SEQ)
+    wide = F.col(T).cast("decimal(20,0)") * F.lit(str(1 << 64)).cast("decimal(20,0)")
+    return (wide + F.coalesce(F.col(SEQ), F.lit(-(1 << 63)).cast("long")).cast("decimal(20,0)")).cast("decimal(38,0)")
+
+
 def table_rows(table: Table, stream: Stream, **how) -> DataFrame:
     return feature_table(stream, table.keys, table.features, steps=table.steps, source=table.root, **how)
