@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Iterable, Sequence
 from typing import Any
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import registry
-from .errors import ValidationError
+from .errors import RegistrationError, ValidationError
 from .functions.types import schema_of
 from .model import EventSource, Table
 from .plans.planner import Stream, table_rows
@@ -24,8 +25,8 @@ class App:
     """Feature tables over pushed events and over DataFrames bound to sources.
 
     Pushed events get the clock's time on arrival. A read is a query over the events of the asked keys only;
-    all features of a table come from one plan. With `folder`, flush() makes pushed events durable and a new App on
-    the same folder sees them.
+    all features of a table come from one plan. With `folder`, push_sync() and flush() make pushed events durable, as does
+    a buffer that is full, and a new App on the same folder goes on with them and with the catalogue's versions.
     """
 
     def __init__(self, spark: SparkSession, folder: str | None = None, test_mode: bool = False, clock: Callable[[], int] | None = None):
@@ -43,8 +44,19 @@ class App:
 
     def register(self, *declarations: Any, force: bool = False, dry_run: bool = False) -> dict:
         """Install the whole catalogue: what is not named any more goes, which needs force."""
-        self.catalogue, report = registry.install(self.catalogue, registry.collect(declarations), self.spark, force, dry_run)
+        kept = self._kept() if not self.catalogue.version else None
+        new = registry.collect(declarations)
+        if kept is not None and not dry_run:
+            gone = [{"kind": "rename", "from": n, "to": ""} for n in kept["declared"] if n not in new.all()]
+            if gone and not force:
+                raise RegistrationError("force_required", "the folder's catalogue has more; that needs force=True", errors=gone)
+        self.catalogue, report = registry.install(self.catalogue, new, self.spark, force, dry_run)
         if not dry_run:
+            if kept is not None:
+                self.catalogue = registry.resumed(self.catalogue, kept)
+                report["version"] = self.catalogue.version
+            if self.folder and report["status"] != "unchanged":
+                EventLog.write_text(self.spark, f"{self.folder}/catalogue.json", json.dumps(registry.state_of(self.catalogue)))
             for name, source in self.catalogue.events.items():
                 if name not in self.logs or self.logs[name].source.schema != source.schema:
                     self.logs[name] = EventLog(self.spark, source, self.folder)
@@ -56,6 +68,11 @@ class App:
                 self.bound.pop(name, None)
         return report
 
+    def _kept(self) -> dict | None:
+        """The catalogue's versions as an earlier App on the folder left them."""
+        text = EventLog.read_text(self.spark, f"{self.folder}/catalogue.json") if self.folder else None
+        return json.loads(text) if text else None
+
     def bind(self, event: str, df: DataFrame, time: str, ties: Sequence[str] = ()) -> None:
         """Let a source's events come from a DataFrame; `time` takes the place of the arrival time."""
         source = self._event(event)
@@ -83,12 +100,19 @@ class App:
         self.watermark = now
         return {"ok": True, "lsn": self.lsn, "registry_version": self.catalogue.version}
 
-    push_sync = push
+    def push_sync(self, event: str, fields: dict[str, Any]) -> dict:
+        """push(), acknowledged only once the event is in the folder (in memory if there is none)."""
+        ack = self.push(event, fields)
+        self.logs[event].flush()
+        return ack
 
-    def push_batch(self, event: str, rows: Iterable[dict[str, Any]]) -> dict:
+    def push_batch(self, event: str, rows: Iterable[dict[str, Any]], sync: bool = False) -> dict:
+        """All rows; with `sync` they are in the folder when this returns."""
         ack = {"ok": True, "lsn": self.lsn}
         for r in rows:
             ack = self.push(event, r)
+        if sync and event in self.logs:
+            self.logs[event].flush()
         return ack
 
     replay = push_batch
@@ -133,10 +157,10 @@ class App:
         rows = self.logs[t.root.name].rows().filter(F.col(VERSION) >= self.catalogue.since.get(t.name, 0))
         return Stream(rows.drop(VERSION), NOW_MS, (LSN,))
 
-    def table(self, name: str, query_time: int | None = None, only=None) -> DataFrame:
-        """All rows of a table as a DataFrame."""
+    def table(self, name: str, query_time: int | None = None, only=None, parts: int | None = None) -> DataFrame:
+        """All rows of a table as a DataFrame. `parts` spreads hot entities over parts of time (see feature_table)."""
         t = self._table(name)
-        return table_rows(t, self._stream(t), query_time=query_time, schema=dict(t.root.schema), only=only)
+        return table_rows(t, self._stream(t), query_time=query_time, schema=dict(t.root.schema), only=only, parts=parts)
 
     def _table(self, name: str) -> Table:
         if name not in self.catalogue.tables:
@@ -199,26 +223,64 @@ class App:
         return {"|".join(k): {n: rows[k][n] for n in names} for k in parsed if k in rows}
 
     def batch_get(self, requests: Sequence[tuple]) -> list[dict]:
-        """Rows for (table, key) or (table, key, features), in order, as of the last event; one query for each table."""
-        asked = []
+        """Rows for (table, key) or (table, key, features), in order, as of the last event; one query for each table.
+
+        An unknown table or a key that does not fit gives that request an `error`; an unknown feature, and more than
+        MAX_CELLS cells in all, refuse the whole batch.
+        """
+        asked: list[tuple | dict] = []
+        cells = 0
         for r in requests:
             if not isinstance(r, (tuple, list)) or len(r) not in (2, 3):
                 raise TypeError("batch_get takes (table, key) or (table, key, features)")
-            t = self._table(r[0])
-            asked.append((t, self._key(t, r[1]), self._features(t, r[2] if len(r) == 3 else None)))
+            try:
+                t = self._table(r[0])
+            except ValidationError as e:
+                asked.append({"error": {"code": e.code, "message": e.message}})
+                continue
+            names = self._features(t, r[2] if len(r) == 3 else None)
+            cells += len(names)
+            try:
+                asked.append((t, self._key(t, r[1]), names))
+            except ValidationError as e:
+                asked.append({"error": {"code": e.code, "message": e.message}})
+        if cells > MAX_CELLS:
+            raise ValidationError("batch_too_large", f"{cells} cells; {MAX_CELLS} at most")
+        wanted: dict[str, list[tuple]] = {}
+        for a in asked:
+            if not isinstance(a, dict):
+                wanted.setdefault(a[0].name, []).append(a[1])
         rows = {}
-        for name in {t.name for t, _, _ in asked}:
+        for name, keys in wanted.items():
             t = self.catalogue.tables[name]
-            rows[name] = self._rows(t, [k for u, k, _ in asked if u.name == name], None if t.root.name in self.bound else self.watermark)
-        return [{n: rows[t.name][k][n] for n in names} if k in rows[t.name] else {} for t, k, names in asked]
+            rows[name] = self._rows(t, keys, None if t.root.name in self.bound else self.watermark)
+        return [a if isinstance(a, dict) else {n: rows[a[0].name].get(a[1], {})[n] for n in a[2]} if a[1] in rows[a[0].name] else {} for a in asked]
 
     # administration
 
+    def health(self) -> dict:
+        """Alive: the session answers."""
+        return {"ok": not self.spark.sparkContext._jsc.sc().isStopped()}
+
+    def ready(self) -> dict:
+        """Ready to take events: a catalogue is installed and, with a folder, the folder can be reached."""
+        ok = self.catalogue.version > 0
+        if ok and self.folder:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+            ok = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        return {"ok": ok, "registry_version": self.catalogue.version}
+
     def ping(self) -> dict:
         return {"ok": True, "registry_version": self.catalogue.version}
 
     def metrics(self) -> dict:
-        return {"events_pushed": self.pushed, "lsn": self.lsn, "watermark_ms": self.watermark, "tables": len(self.catalogue.tables), "features": sum(len(t.features) for t in self.catalogue.tables.values())}
+        """Counters, with the progress of the session's streaming queries."""
+        streams = {}
+        for q in self.spark.streams.active:
+            p = q.lastProgress or {}
+            streams[q.name or q.id] = {"batch": p.get("batchId"), "rows_per_second": p.get("processedRowsPerSecond"), "state_rows": sum(s.get("numRowsTotal", 0) for s in p.get("stateOperators", []))}
+        held = sum(len(log.held) for log in self.logs.values())
+        return {"events_pushed": self.pushed, "events_held": held, "lsn": self.lsn, "watermark_ms": self.watermark, "tables": len(self.catalogue.tables), "features": sum(len(t.features) for t in self.catalogue.tables.values()), "streams": streams}
 
     def reset(self) -> None:
         if not self.test_mode:

@@ -342,6 +342,10 @@ def _top_k(p, f):
         return F.array().cast("array<struct<value:string,count:bigint>>")
     x = p.raw(f, True)
 
+    if f.params.get("approx"):  # a sketch of bounded size, combined on the map side
+        found = p.total(("approx_top", str(x), f.params.get("k", 10)), lambda: F.call_function("approx_top_k", x, F.lit(f.params.get("k", 10)), F.lit(max(10_000, 4 * f.params.get("k", 10)))))
+        known = F.filter(found, lambda s: s["item"].isNotNull())
+        return F.coalesce(F.transform(known, lambda s: F.struct(s["item"].alias("value"), s["count"].alias("count"))), F.array().cast(f"array<struct<value:{_sql_type(kind)},count:bigint>>"))
     counts, k = p.counts, p.counts.kind(x)
     rank, n = counts.need("rank_count"), F.col(Counts.N)
     best = counts.put(lambda: F.array_sort(F.collect_list(F.when(counts.on(k) & (rank <= f.params.get("k", 10)), F.struct(rank.alias("r"), counts.value(k).alias("v"), n.alias("n"))))))

@@ -46,7 +46,7 @@ def _feature(op: str, field: Any = None, *, where: Any = None, window: str | Non
 
 def _count_of(op: str, name: str, n: Any) -> int:
     if not isinstance(n, int) or isinstance(n, bool) or n < 1:
-        raise ValueError(f"{op} {name} must be >= 1; got {n}")
+        raise ValueError(f"{op}: {name} is a whole number from 1 on, not {n!r}")
     return n
 
 
@@ -92,8 +92,8 @@ def quantile(field, *, q, window=None, where=None, approx: bool = False):
     return _feature("quantile", field, window=window, where=where, q=q, **({"approx": True} if approx else {}))
 
 
-def top_k(field, *, k, window=None, where=None):
-    return _feature("top_k", field, window=window, where=where, k=_count_of("top_k", "k", k))
+def top_k(field, *, k, window=None, where=None, approx: bool = False):
+    return _feature("top_k", field, window=window, where=where, k=_count_of("top_k", "k", k), **({"approx": True} if approx else {}))
 
 
 def bloom_member(field, *, window=None, where=None):

@@ -36,10 +36,18 @@ def add(df: DataFrame, keys: Sequence[str], columns: dict[str, Ordered], parts:
     for name, o in columns.items():
         groups.setdefault((o.group, o.kind == "max_earlier"), {})[name] = o
     for (group, earlier), own in groups.items():
-        df = settle(_earlier(df, keys, group, own) if earlier else _carried(df, keys, group, own))
+        before, df = df, settle(_earlier(df, keys, group, own) if earlier else _carried(df, keys, group, own))
+        drop(before)
     return df
 
 
+def drop(df: DataFrame) -> None:
+    """Remove a table that settle() wrote, once a later one stands on its own."""
+    spark = df.sparkSession
+    p = spark._jvm.org.apache.hadoop.fs.Path(df._settled)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read again: a short plan, which lost executors do not undo."""
     spark = df.sparkSession
@@ -50,7 +58,9 @@ def settle(df: DataFrame) -> DataFrame:
         folder = tempfile.mkdtemp(prefix="tallyrun-")
     path = f"{folder.rstrip('/')}/tallyrun/ordered-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._settled = path
+    return back
 
 
 def _window(o: Ordered, keys: Sequence[str]) -> Column:

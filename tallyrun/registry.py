@@ -253,6 +253,31 @@ def precheck(payload: dict) -> None:
                 raise RegistrationError(REMOVED[step["op"]], f"{step['op']} is not supported", path)
 
 
+def fingerprint(d: Any) -> str:
+    """A declaration as text; equal declarations have equal texts."""
+    if isinstance(d, EventSource):
+        own: tuple = (sorted(d.schema.items()), sorted(d.optional), d.keep_events_for, d.cold_after, d.dedupe_key, d.dedupe_window)
+    else:
+        own = (fingerprint(d.root), [_step(s) for s in d.steps])
+        if isinstance(d, Table):
+            own += (d.keys, sorted((n, sorted((k, str(v)) for k, v in f.describe().items())) for n, f in d.features.items()))
+    return f"{KINDS[type(d)]} {d.name} {own}"
+
+
+def state_of(cat: Catalogue) -> dict:
+    """What a folder keeps of a catalogue, for the next application on it."""
+    return {"version": cat.version, "since": cat.since, "declared": {n: fingerprint(d) for n, d in cat.all().items()}}
+
+
+def resumed(new: Catalogue, kept: dict) -> Catalogue:
+    """A catalogue as it follows on what a folder keeps: what has not changed keeps its version."""
+    out, was = new.copy(), kept["declared"]
+    now = {n: fingerprint(d) for n, d in out.all().items()}
+    out.version = kept["version"] + (now != was)
+    out.since = {n: kept["since"][n] if was.get(n) == now[n] else out.version for n in now}
+    return out
+
+
 def install(cat: Catalogue, new: Catalogue, spark: SparkSession, force: bool = False, dry_run: bool = False) -> tuple[Catalogue, dict]:
     """The next catalogue and a report. A new declaration sees events from its version on."""
     schemas = check(new, spark)

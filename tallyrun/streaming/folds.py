@@ -541,6 +541,10 @@ def fold_of(f: Feature) -> Fold:
         "entropy": lambda: Categories("entropy", cap=MAX_CATEGORIES),
         **{w: (lambda w=w: Moments(w)) for w in ("sum", "mean", "var", "std")},
     }
+    if p.get("approx"):
+        from .sketches import DistinctSketch, FrequentSketch, QuantileSketch
+
+        plain |= {"n_unique": DistinctSketch, "quantile": lambda: QuantileSketch(p["q"]), "top_k": lambda: FrequentSketch(p.get("k", 10))}
     if op in plain:
         span = duration_ms(f.window)
         return plain[op]() if span is None else Windowed(span, _Maker(f))

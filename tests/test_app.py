@@ -76,6 +76,55 @@ def test_push_and_read(app):
     assert app.mget("Clicks", ["alice", "zed", "bob"], ["c"]) == {"alice": {"c": 2}, "bob": {"c": 1}}
     assert app.batch_get([("Clicks", "bob", ["c"]), ("Totals", None), ("Clicks", "zed")]) == [{"c": 1}, {"total": 3}, {}]
     assert app.ping()["ok"] and app.metrics()["events_pushed"] == 3
+    assert app.health() == {"ok": True} and app.ready()["ok"] and app.metrics()["events_held"] == 3
+    assert app.table("Clicks", parts=3).count() == 2
+
+
+def test_batch_get_answers_each_request(app):
+    """A bad table or key is that request's error; a bad feature or too many cells refuse all."""
+    app.push("Click", {"user_id": "alice", "page": "/"})
+    got = app.batch_get([("Nope", "x"), ("Clicks", "alice", ["c"]), ("ByPage", "alice"), ("Totals", "x"), ("Totals", None)])
+    assert [g.get("error", {}).get("code") for g in got] == ["unknown_table", None, "key_parse_failure", "key_parse_failure", None]
+    assert got[1] == {"c": 1} and got[4] == {"total": 1}
+    with pytest.raises(ValidationError) as e:
+        app.batch_get([("Clicks", "alice", ["c"]), ("Clicks", "alice", ["nope"])])
+    assert e.value.code == "feature_not_found"
+    with pytest.raises(ValidationError) as e:
+        app.batch_get([("Clicks", f"u{i}") for i in range(3400)])
+    assert e.value.code == "batch_too_large"
+    assert app.batch_get([]) == []
+
+
+def test_acknowledged_events_and_versions_survive(spark, tmp_path):
+    """push_sync() is in the folder when it returns; a new App keeps versions, so a table sees the events it saw before."""
+    folder, clock = str(tmp_path / "log"), Clock()
+    a = App(spark, folder, clock=clock)
+    a.register(Click, Totals)
+    a.push_sync("Click", {"user_id": "ann", "page": "/"})
+    a.register(Click, Totals, Clicks)  # version 2: sees events from here on
+    a.push_batch("Click", [{"user_id": "ann", "page": "/"}, {"user_id": "bob", "page": "/"}], sync=True)
+    a.push("Click", {"user_id": "lost", "page": "/"})  # not acknowledged as durable
+    was = (a.get("Totals")["total"] - 1, a.get("Clicks", "ann"))
+    b = App(spark, folder, clock=clock)
+    report = b.register(Click, Totals, Clicks)
+    assert report["version"] == 2 and b.catalogue.since == a.catalogue.since
+    assert (b.get("Totals")["total"], b.get("Clicks", "ann")) == was == (3, {"c": 1, "pages": 1, "last": "/"})
+    assert b.push_sync("Click", {"user_id": "ann", "page": "/x"})["registry_version"] == 2 and b.get("Clicks", "ann")["c"] == 2
+    c = App(spark, folder, clock=clock)
+    with pytest.raises(RegistrationError) as e:
+        c.register(Click, Totals)
+    assert e.value.code == "force_required"
+    assert c.register(Click, Totals, Clicks, ByPage)["version"] == 3 and c.catalogue.since["ByPage"] == 3 and c.catalogue.since["Clicks"] == 2
+    assert c.get("ByPage", "ann|/") == {} and c.get("Clicks", "ann")["c"] == 2
+
+
+def test_a_full_buffer_goes_to_the_folder(spark, tmp_path):
+    from tallyrun.sources.log import EventLog
+
+    log = EventLog(spark, Click, str(tmp_path), most_held=10)
+    for i in range(25):
+        log.append({"user_id": "u", "page": "/"}, i, i, 1)
+    assert len(log.held) == 5 and log.rows().count() == 25
 
 
 def test_numeric_keys_and_dedupe(app):
