@@ -211,6 +211,19 @@ class App:
         row = self._rows(t, [k], now).get(k)
         return {n: row[n] for n in names} if row is not None else {}
 
+    def get_single(self, name: str, key: Any = None) -> dict:
+        """One feature's value by its own name, as feature names are unique, or, by a table's name, all of a key's features.
+
+        A key without an event, which get() answers with {}, is an error here.
+        """
+        owner = next((t for t in self.catalogue.tables.values() if name in t.features), None)
+        if owner is None and name not in self.catalogue.tables:
+            raise ValidationError("feature_not_found", f"no feature or table {name!r}", name)
+        row = self.get(owner.name if owner else name, key, [name] if owner else None)
+        if not row:
+            raise ValidationError("key_not_found", f"no event had the key {key!r}", name)
+        return {"value": row[name]} if owner else row
+
     def mget(self, table: str, keys: Sequence[Any], features: Sequence[str] | None = None) -> dict[str, dict]:
         """Rows of several keys; keys without an event are left out."""
         t = self._table(table)

@@ -95,6 +95,16 @@ def test_batch_get_answers_each_request(app):
     assert app.batch_get([]) == []
 
 
+def test_get_single(app):
+    app.push("Click", {"user_id": "alice", "page": "/"})
+    assert app.get_single("c", "alice") == {"value": 1} and app.get_single("total") == {"value": 1}
+    assert app.get_single("Clicks", "alice") == app.get("Clicks", "alice")
+    for name, key, code in (("nope", "alice", "feature_not_found"), ("c", "zed", "key_not_found"), ("hits", "alice", "key_parse_failure")):
+        with pytest.raises(ValidationError) as e:
+            app.get_single(name, key)
+        assert e.value.code == code
+
+
 def test_acknowledged_events_and_versions_survive(spark, tmp_path):
     """push_sync() is in the folder when it returns; a new App keeps versions, so a table sees the events it saw before."""
     folder, clock = str(tmp_path / "log"), Clock()
