@@ -5,6 +5,9 @@ classes, with numbers in class names generalised. Votes are summed per host in S
 path with most votes wins, and each page is read again with its host's winning path: what lies below it, and
 around it what the text goes on with (see around()). A page on which that path has no text, or next to none of
 what the page's own best container scores, falls back to that container.
+
+A page is read in one pass that never looks back: work and memory grow with its length, whatever its nesting and however
+broken its markup. Sums over an element's inside go from children to parents, marks from parents to children.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from __future__ import annotations
 import html
 import re
 from collections import defaultdict
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,11 +24,20 @@ from pyspark.sql import functions as F
 from .common import map_batches, stash, strings
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: a tag whose attribute values hold no angle bracket, up to its end
+SIMPLE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:\s++[^\s=\"'>/]++(?:=(?:\"[^\"<>]*+\"|'[^'<>]*+'|[^\s\"'<>=`]++))?+)*+)\s*+(/?)>")
+OPEN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:=(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+NAME = re.compile(r"[\s/]*+(=?[^\s/>=]*+)")
+EQUALS = re.compile(r"\s*+=\s*+")
+UNQUOTED = re.compile(r"[^\s>]*+")
+#: references to numbers that no character has, or that are written with many zeros, are made short before decoding
+ZEROS = re.compile(r"&#([xX]?)0{6,}+")
+TOO_LARGE = re.compile(r"&#(?:[1-9][0-9]{7,}+|[xX][1-9a-fA-F][0-9a-fA-F]{7,}+);?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: their content is not markup
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
+RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+>?", re.I) for t in RAW}
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: a new one ends an open one of the group
 CLOSES = {t: g for g in (frozenset(["p"]), frozenset(["li"]), frozenset(["dt", "dd"]), frozenset(["tr"]), frozenset(["td", "th"]), frozenset(["option"])) for t in g}
@@ -45,14 +58,24 @@ BONUS = {"article": 1.5, "main": 1.2}
 DECAY = 0.8
 #: share of its own best container's score that the host's path must have on a page
 LEAST_SHARE = 0.05
+#: characters of a path that takes part in a vote; a page with a longer one reads its own best container
+LONGEST_PATH = 4096
+#: with more hosts than this, only hosts with over one in so many of all pages have their paths broadcast
+MOST_HOT = 10_000
 
 
 class Node:
-    __slots__ = ("tag", "path", "parent", "aside", "link", "named", "score", "depth")
+    """An element. Its path is an index into its page's table of paths; flags hold for all below it too."""
+
+    __slots__ = ("tag", "path", "parent", "aside", "link", "named", "score", "depth", "under_named", "remark", "listed")
 
-    def __init__(self, tag: str, path: str, parent: Node | None, aside: bool, link: bool, named: str = ""):
+    def __init__(self, tag: str, path: int, parent: Node | None, aside: bool, link: bool, named: str = ""):
         self.tag, self.path, self.parent, self.aside, self.link, self.named, self.score = tag, path, parent, aside, link, named, 0.0
         self.depth = 0 if parent is None else parent.depth + 1
+        self.under_named = bool(named) or parent is not None and parent.under_named
+        self.remark = bool(named and COMMENT_NAME.search(named)) or parent is not None and parent.remark
+        # the nearest element above that is no paragraph or list; None for such an element itself
+        self.listed = (parent.listed or parent) if parent is not None and tag in LISTS else None
 
 
 def aside_name(names: str) -> str:
@@ -60,11 +83,10 @@ def aside_name(names: str) -> str:
     return next((t for t in names.split() if ASIDE_NAME.search(t) and not LAYOUT_NAME.search(t)), "")
 
 
-def step_of(tag: str, raw: str) -> tuple[str, bool, str]:
+def step_of(tag: str, found: dict[str, str]) -> tuple[str, bool, str]:
     """The path step of a tag (classes sorted, numbers generalised), whether it is set aside, and the name that asks for it."""
-    if not raw or raw.isspace():
+    if not found:
         return tag, tag in ASIDE_TAGS, ""
-    found = {m[1].lower(): next((g for g in m.groups()[1:] if g is not None), "") for m in ATTRIBUTE.finditer(raw)}
     classes, name = found.get("class", ""), found.get("id", "")
     aside = tag in ASIDE_TAGS or found.get("role", "").lower() in ASIDE_ROLES or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
     named = ""
@@ -76,97 +98,217 @@ def step_of(tag: str, raw: str) -> tuple[str, bool, str]:
     return ".".join([tag, *steps]), aside, named
 
 
-def blocks(page: str):
-    """(node, text, link characters) of each block in page order; text has references decoded and single blanks."""
-    root = node = Node("root", "root", None, False, False)
-    stack, pieces, links, at = [root], [], 0, 0
-
-    def close():
-        nonlocal links
-        out = None
-        if pieces:
-            text = " ".join(html.unescape("".join(pieces)).split())
-            if text:
-                out = (node, text, links)
-            pieces.clear()
-        links = 0
-        return out
+@lru_cache(1 << 12)
+def _short_step(tag: str, raw: str) -> tuple[str, bool, str]:
+    return step_of(tag, {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(raw)})
+
+
+class Page:
+    """A page's elements in page order, its blocks (element, text, link characters), and its table of paths."""
 
-    end = len(page)
-    while at < end:
-        m = TOKEN.search(page, at)
-        upto = m.start() if m else end
-        if upto > at:
-            run = page[at:upto]
-            if not stack[-1].aside:
+    def __init__(self, page: str):
+        self.page = page
+        self.quotes = {'"': 0, "'": 0}
+        self.steps: dict[tuple[int, str], int] = {}
+        self.parents, self.names, self.lengths = [-1], ["root"], [4]
+        self.nodes = [Node("root", 0, None, False, False)]
+        self.blocks: list[tuple[Node, str, int]] = []
+        self._read()
+
+    def path_under(self, path: int, step: str) -> int:
+        found = self.steps.setdefault((path, step), len(self.names))
+        if found == len(self.names):
+            self.parents.append(path)
+            self.names.append(step)
+            self.lengths.append(self.lengths[path] + 1 + len(step))
+        return found
+
+    def path_text(self, path: int) -> str:
+        out = []
+        while path >= 0:
+            out.append(self.names[path])
+            path = self.parents[path]
+        return ">".join(reversed(out))
+
+    def path_id(self, path: str | None) -> int:
+        """The page's number of a path, -1 if it has none such."""
+        if path is None:
+            return -1
+        steps, at = path.split(">"), 0
+        if steps[0] != "root":
+            return -1
+        for step in steps[1:]:
+            if (at := self.steps.get((at, step), -1)) < 0:
+                return -1
+        return at
+
+    def _quote(self, mark: str, at: int) -> int:
+        """The next such quote, or -1; what has been looked through is not looked through again."""
+        if 0 <= self.quotes[mark] < at:
+            self.quotes[mark] = self.page.find(mark, at)
+        return self.quotes[mark]
+
+    def _attributes(self, at: int) -> tuple[int, dict[str, str], bool]:
+        """Where a tag ends whose attributes start here (-1: the page ends before), the attributes, and whether it closes itself.
+
+        A quoted value ends at the next such quote. If there is none, or what follows it shows that it opens another
+        value (neither white space, a slash nor the tag's end), the quote was never closed, and the tag ends
+        at the next angle bracket.
+        """
+        page, found = self.page, {}
+        while True:
+            m = NAME.match(page, at)
+            at = m.end()
+            if at >= len(page):
+                return -1, found, False
+            if not m[1] and page[at] == ">":
+                return at + 1, found, page[at - 1] == "/"
+            value = ""
+            if e := EQUALS.match(page, at):
+                at = e.end()
+                mark = page[at : at + 1]
+                if mark in ("'", '"'):
+                    end = self._quote(mark, at + 1)
+                    if end < 0 or end + 1 < len(page) and page[end + 1] not in " \t\n\r\f/>" and page.find(">", at, end) >= 0:
+                        end = page.find(">", at)
+                        found.setdefault(m[1].lower(), page[at + 1 : end] if end >= 0 else "")
+                        return (end + 1 if end >= 0 else -1), found, False
+                    value, at = page[at + 1 : end], end + 1
+                else:
+                    u = UNQUOTED.match(page, at)
+                    value, at = u[0], u.end()
+            found.setdefault(m[1].lower(), value)
+
+    def _read(self) -> None:
+        page, end = self.page, len(self.page)
+        root = node = self.nodes[0]
+        # elements open now; of these the places of blocks, and of each tag's
+        stack, solid, places = [root], [0], defaultdict(list)
+        pieces, links, at = [], 0, 0
+
+        def close() -> None:
+            nonlocal links
+            if pieces:
+                text = "".join(pieces)
+                if "&" in text:
+                    text = html.unescape(TOO_LARGE.sub("\ufffd", ZEROS.sub(r"&#\g<1>0", text)))
+                text = " ".join(text.split())
+                if text:
+                    self.blocks.append((node, text, links))
+                pieces.clear()
+            links = 0
+
+        def push(n: Node) -> None:
+            self.nodes.append(n)
+            places[n.tag].append(len(stack))
+            if n.tag not in INLINE:
+                solid.append(len(stack))
+            stack.append(n)
+
+        def pop() -> Node:
+            n = stack.pop()
+            places[n.tag].pop()
+            if solid[-1] == len(stack):
+                solid.pop()
+            return n
+
+        def read(run: str) -> None:
+            nonlocal links
+            if run and not stack[-1].aside:
                 pieces.append(run)
                 if stack[-1].link:
                     links += len(run)
-        if not m:
-            break
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            if m[0].startswith("<![CDATA[") and not stack[-1].aside:
-                pieces.append(html.escape(m[0][9:].removesuffix("]]>")))
-            continue
-        tag = tag.lower()
-        top = stack[-1]
-        if m[1]:
-            if tag == "br" or tag in VOID or not any(n.tag == tag for n in stack):
-                if tag == "p":
-                    if done := close():
-                        yield done
+
+        while at < end:
+            start = page.find("<", at)
+            if start < 0:
+                read(page[at:])
+                break
+            read(page[at:start])
+            kind = page[start + 1 : start + 2]
+            m = SIMPLE_TAG.match(page, start)
+            if m:
+                at, tag, raw, ends_itself, found = m.end(), m[2].lower(), m[3], m[4] == "/", None
+                closing = m[1]
+            elif m := OPEN_TAG.match(page, start):
+                closing, tag = m[1], m[2].lower()
+                at, found, ends_itself = self._attributes(m.end())
+                if at < 0:  # the page ends within a tag
+                    break
+            elif kind == "!" or kind == "?" or kind == "/":
+                opening, ending = next((x for x in (("<!--", "-->"), ("<![CDATA[", "]]>")) if page.startswith(x[0], start)), ("<" + kind, ">"))
+                upto = page.find(ending, start + len(opening) - (opening == "<!--") * 2)
+                inside = page[start + len(opening) : upto if upto >= 0 else end]
+                at = upto + len(ending) if upto >= 0 else end
+                if opening == "<![CDATA[":
+                    read(html.escape(inside))
                 continue
-            if tag not in INLINE:
-                if done := close():
-                    yield done
-            elif any(n.tag not in INLINE for n in stack[next(i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag) :]):
-                continue  # an inline end tag does not close blocks
-            while stack.pop().tag != tag:
-                pass
-            node = next(n for n in reversed(stack) if n.tag not in INLINE)
-            continue
-        if tag in RAW:
-            if m[3].endswith("/"):
+            else:
+                read("<")
+                at = start + 1
                 continue
-            stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
-            at = stop.end() if stop else end
-            pieces.append(" ")
-            continue
-        if tag in VOID:
-            if tag in ("br", "wbr", "img", "input"):
-                if tag != "wbr" and not top.aside:
+            top = stack[-1]
+            if closing:
+                if tag in VOID or not places[tag]:
+                    if tag == "p":
+                        close()
+                    elif tag == "br" and not top.aside:
+                        pieces.append(" ")
+                    continue
+                if tag not in INLINE:
+                    close()
+                elif solid[-1] > places[tag][-1]:
+                    continue  # an inline end tag does not close blocks
+                while pop().tag != tag:
+                    pass
+                node = stack[solid[-1]]
+                continue
+            if tag in RAW:
+                if not ends_itself:
+                    stop = RAW_END[tag].search(page, at)
+                    at = stop.end() if stop else end
                     pieces.append(" ")
-            elif done := close():
-                yield done
-            continue
-        step, aside, named = step_of(tag, m[3])
-        if tag in INLINE:
-            stack.append(Node(tag, top.path, top, top.aside or aside or bool(named), top.link or tag == "a"))
-            continue
-        if done := close():
-            yield done
-        group = CLOSES.get(tag)
-        if tag in NO_PARAGRAPH or group:
-            for i in range(len(stack) - 1, 0, -1):
-                t = stack[i].tag
-                if group and t in group or t == "p" and tag in NO_PARAGRAPH:
-                    del stack[i:]
-                    break
-                if t not in INLINE and not (tag in NO_PARAGRAPH and t == "p"):
-                    break
-        # inline elements left open do not reach over a block's edge
-        while stack[-1].tag in INLINE:
-            stack.pop()
-        top = stack[-1]
-        node = Node(tag, f"{top.path}>{step}", top, top.aside or aside, False, named)
-        if not m[3].endswith("/"):
-            stack.append(node)
-        else:
-            node = top
-    if done := close():
-        yield done
+                continue
+            if tag in VOID:
+                if tag in ("br", "wbr", "img", "input"):
+                    if tag != "wbr" and not top.aside:
+                        pieces.append(" ")
+                else:
+                    close()
+                continue
+            if found is not None:
+                step, aside, named = step_of(tag, found)
+            else:
+                step, aside, named = _short_step(tag, raw) if len(raw) <= 256 else _short_step.__wrapped__(tag, raw)
+            if tag in INLINE:
+                push(Node(tag, top.path, top, top.aside or aside or bool(named), top.link or tag == "a"))
+                continue
+            close()
+            group = CLOSES.get(tag)
+            if tag in NO_PARAGRAPH or group:
+                for i in range(len(stack) - 1, 0, -1):
+                    t = stack[i].tag
+                    if group and t in group or t == "p" and tag in NO_PARAGRAPH:
+                        while len(stack) > i:
+                            pop()
+                        break
+                    if t not in INLINE and not (tag in NO_PARAGRAPH and t == "p"):
+                        break
+            # inline elements left open do not reach over a block's edge
+            while stack[-1].tag in INLINE:
+                pop()
+            node = top = stack[-1]
+            if not ends_itself:
+                node = Node(tag, self.path_under(top.path, step), top, top.aside or aside, False, named)
+                push(node)
+        close()
+
+    def below(self, mark) -> dict[Node, object]:
+        """mark(element, its parent's mark) for each element, parents first."""
+        out: dict[Node, object] = {None: None}
+        for n in self.nodes:
+            out[n] = mark(n, out[n.parent])
+        return out
 
 
 def above(node: Node | None):
@@ -175,100 +317,115 @@ def above(node: Node | None):
         node = node.parent
 
 
-def outside_named(found: list[tuple[Node, str, int]]) -> list[tuple[Node, str, int]]:
+def with_all_above(nodes) -> set[Node]:
+    out: set[Node] = set()
+    for n in nodes:
+        while n is not None and n not in out:
+            out.add(n)
+            n = n.parent
+    return out
+
+
+def outside_named(page: Page) -> list[tuple[Node, str, int]]:
     """The blocks that lie in no region set aside by its name.
 
     A name does not count on an element that holds a main or the longest article (in a named region, teasers apart: one
     with a quarter of the text that is no comment), nor, on a page without these, on one that holds over half of
     the page's text (links do not count, and a region of comments stays one).
     """
-    sizes: dict[Node, int] = defaultdict(int)
-    total, remarks, any_named = 0, 0, False
-    for node, text, links in found:
+    if not any(n.under_named for n, _, _ in page.blocks):
+        return page.blocks
+    inside: dict[Node, int] = defaultdict(int)
+    total, remarks = 0, 0
+    for node, text, links in page.blocks:
         gain = max(0, len(text) - 2 * links)
         total += gain
-        remark = False
-        for n in above(node):
-            if n.named or n.tag in ("main", "article"):
-                sizes[n] += gain
-                any_named = any_named or bool(n.named)
-                remark = remark or bool(n.named and COMMENT_NAME.search(n.named))
-        remarks += gain * remark
-    if not any_named:
-        return found
-    contents = [n for n in sizes if n.tag in ("main", "article") and sizes[n]]
-    free = [n for n in contents if not any(a.named for a in above(n))]
+        remarks += gain * node.remark
+        inside[node] += gain
+    for n in reversed(page.nodes):
+        if n in inside and n.parent is not None:
+            inside[n.parent] += inside[n]
+    contents = [n for n in page.nodes if n.tag in ("main", "article") and inside.get(n)]
+    free = [n for n in contents if not n.under_named]
     hearts = [n for n in contents if n.tag == "main"]
     if articles := [n for n in contents if n.tag == "article"]:
-        longest = max(articles, key=sizes.get)
-        if longest in free or 4 * sizes[longest] >= total - remarks:
+        longest = max(articles, key=inside.get)
+        if longest in free or 4 * inside[longest] >= total - remarks:
             hearts.append(longest)
-    holds = {n for h in hearts for n in above(h)}
+    holds = with_all_above(hearts)
     if not hearts and not free:
-        holds = {n for n in sizes if 2 * sizes[n] > total and not COMMENT_NAME.search(n.named)}
-    return [b for b in found if not any(n.named and n not in holds for n in above(b[0]))]
-
-
-def score(page: str) -> list[tuple[Node, str, int]]:
-    """The page's blocks outside set-aside regions; their containers get their scores."""
-    found = []
-    for node, text, links in outside_named(list(blocks(page))):
-        found.append((node, text, links))
-        gain = max(0, len(text) - 2 * links)
-        n = container_of(node)
-        while n is not None:
-            n.score += gain
-            gain *= DECAY
-            n = n.parent
-    return found
-
-
-def best_paths(found: list[tuple[Node, str, int]]) -> dict[str, float]:
-    """path -> score of all containers of a page."""
-    votes: dict[str, float] = defaultdict(float)
-    seen = set()
-    for node, _, _ in found:
-        n = node
-        while n is not None and id(n) not in seen:
-            seen.add(id(n))
-            if n.score:
-                votes[n.path] += n.score * BONUS.get(n.tag, 1.0)
-            n = n.parent
+        holds = {n for n in page.nodes if n.named and 2 * inside.get(n, 0) > total and not COMMENT_NAME.search(n.named)}
+    out = page.below(lambda n, up: bool(up) or bool(n.named) and n not in holds)
+    return [b for b in page.blocks if not out[b[0]]]
+
+
+def score(text: str) -> Page:
+    """The page; its blocks are those outside set-aside regions, and containers have their scores."""
+    page = Page(text)
+    page.blocks = outside_named(page)
+    for node, text, links in page.blocks:
+        container_of(node).score += max(0, len(text) - 2 * links)
+    for n in reversed(page.nodes):
+        if n.parent is not None:
+            n.parent.score += DECAY * n.score
+    return page
+
+
+def best_paths(page: Page) -> dict[int, float]:
+    """path -> score of all containers of a page that hold a block."""
+    votes: dict[int, float] = defaultdict(float)
+    for n in with_all_above(n for n, _, _ in page.blocks):
+        if n.score:
+            votes[n.path] += n.score * BONUS.get(n.tag, 1.0)
     return votes
 
 
-def top_of(votes: dict[str, float]) -> str | None:
-    return min(votes, key=lambda p: (-votes[p], len(p), p)) if votes else None
+def best_path(page: Page, votes: dict[int, float] | None = None) -> int:
+    """The path with the highest score (-1: none has any); ties go to the shorter, then the smaller one."""
+    votes = best_paths(page) if votes is None else votes
+    if not votes:
+        return -1
+    most = max(round(v, 6) for v in votes.values())
+    tied = [p for p, v in votes.items() if round(v, 6) == most]
+    shortest = min(page.lengths[p] for p in tied)
+    return min((p for p in tied if page.lengths[p] == shortest), key=page.path_text)
 
 
-def container_of(node: Node, also: frozenset[str] = frozenset()) -> Node:
+def container_of(node: Node) -> Node:
     """The element that a block's text belongs to: the parent of a paragraph or the like."""
-    n = node.parent if node.tag in PARAGRAPHS else node
-    while n.tag in also:
-        n = n.parent
-    return n
+    return node.parent if node.tag in PARAGRAPHS else node
 
 
-def around(found: list[tuple[Node, str, int]], path: str, chosen: list[bool]) -> list[bool]:
+def around(page: Page, path: int, chosen: list[bool]) -> list[bool]:
     """The chosen blocks, below elements of a path, and those that go on with them: titles, leads, text between parts.
 
     The lowest element above that adds text is taken whole, unless what it adds is mostly links; of elements further
     up, and of body and what is above it, only blocks that are the element's own, in no container beside the text.
     """
-    over = {a for (n, _, _), c in zip(found, chosen, strict=True) if c for m in above(n) if m.path == path for a in above(m.parent)}
+    found = page.blocks
+    holding = with_all_above(n for (n, _, _), c in zip(found, chosen, strict=True) if c)
+    over = with_all_above(n.parent for n in page.nodes if n.path == path and n.tag not in INLINE and n in holding)
+    nearest = page.below(lambda n, up: n if n in over else up)
     met: dict[int, list[tuple[int, Node]]] = defaultdict(list)
     for k, (n, _, _) in enumerate(found):
-        if not chosen[k] and (meet := next((a for a in above(n) if a in over), None)):
+        if not chosen[k] and (meet := nearest[n]) is not None:
             met[meet.depth].append((k, meet))
     out, refused, whole = list(chosen), [], False
+    refused_links = refused_size = 0
     for depth in sorted(met, reverse=True):
         new = [k for k, _ in met[depth]]
-        tries = [[k for k, meet in met[depth] if container_of(found[k][0], LISTS) is meet]]
-        if not whole and met[depth][0][1].tag not in ("root", "html", "body"):
-            tries.insert(0, refused + new)
-        more = next((t for t in tries if t and 2 * sum(found[k][2] for k in t) <= sum(len(found[k][1]) for k in t)), None)
+        links, size = sum(found[k][2] for k in new), sum(len(found[k][1]) for k in new)
+        more = None
+        if not whole and met[depth][0][1].tag not in ("root", "html", "body") and 2 * (refused_links + links) <= refused_size + size:
+            more = refused + new
+        else:
+            own = [k for k, meet in met[depth] if ((c := container_of(found[k][0])).listed or c) is meet]
+            if own and 2 * sum(found[k][2] for k in own) <= sum(len(found[k][1]) for k in own):
+                more = own
         if more is None:
-            refused += new
+            if not whole:
+                refused += new
+                refused_links, refused_size = refused_links + links, refused_size + size
             continue
         whole = True
         for k in more:
@@ -276,22 +433,24 @@ def around(found: list[tuple[Node, str, int]], path: str, chosen: list[bool]) ->
     return out
 
 
-def text_under(found: list[tuple[Node, str, int]], path: str | None) -> str:
+def text_under(page: Page, path: int) -> str:
     """Blocks below elements of a path and around them, in page order, joined by newlines."""
-    inner = f"{path}>"
-    chosen = [path is not None and (n.path == path or n.path.startswith(inner)) for n, _, _ in found]
-    if path is not None and not all(chosen):
-        chosen = around(found, path, chosen)
-    return "\n".join(t for (_, t, _), c in zip(found, chosen, strict=True) if c)
+    if path < 0:
+        return ""
+    under = page.below(lambda n, up: bool(up) or n.path == path)
+    chosen = [bool(under[n]) for n, _, _ in page.blocks]
+    if not all(chosen):
+        chosen = around(page, path, chosen)
+    return "\n".join(t for (_, t, _), c in zip(page.blocks, chosen, strict=True) if c)
 
 
-def main_text(found: list[tuple[Node, str, int]], path: str | None) -> str:
+def main_text(page: Page, path: str | None) -> str:
     """A page's text by its host's path, or by its own best container if that path holds too little of the page."""
-    votes = best_paths(found)
-    own = top_of(votes)
-    if own is not None and votes.get(path, 0.0) < LEAST_SHARE * votes[own]:
-        path = own
-    return text_under(found, path)
+    votes = best_paths(page)
+    own, at = best_path(page, votes), page.path_id(path)
+    if own >= 0 and votes.get(at, 0.0) < LEAST_SHARE * votes[own]:
+        at = own
+    return text_under(page, at)
 
 
 def host_of(url: str | None) -> str:
@@ -306,9 +465,10 @@ def page_votes(pages: DataFrame) -> DataFrame:
         def work(batch):
             sums: dict[tuple[str, str], int] = defaultdict(int)
             for url, page in zip(strings(batch, "url"), strings(batch, "html"), strict=True):
-                best = top_of(best_paths(score(page or "")))
-                if best is not None:
-                    sums[host_of(url), best] += 1
+                found = score(page or "")
+                best = best_path(found)
+                if best >= 0 and found.lengths[best] <= LONGEST_PATH:
+                    sums[host_of(url), found.path_text(best)] += 1
             keys = sorted(sums)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([sums[k] for k in keys], pa.int64())], names=["host", "path", "votes"])
 
@@ -318,22 +478,36 @@ def page_votes(pages: DataFrame) -> DataFrame:
 
 
 def winning_paths(pages: DataFrame) -> DataFrame:
-    """(host, path): per host the path with most votes; ties go to the shorter, then the smaller path."""
+    """(host, path, pages): per host the path with most votes and all votes; ties go to the shorter, then the smaller path."""
     summed = page_votes(pages).groupBy("host", "path").agg(F.sum("votes").alias("votes"))
-    return summed.groupBy("host").agg(F.min(F.struct(-F.col("votes"), F.length("path"), "path")).alias("w")).select("host", F.col("w.path").alias("path"))
+    won = summed.groupBy("host").agg(F.min(F.struct(-F.col("votes"), F.length("path"), "path")).alias("w"), F.sum("votes").alias("pages"))
+    return won.select("host", F.col("w.path").alias("path"), "pages")
+
+
+def with_paths(pages: DataFrame, winners: DataFrame, broadcast_hosts: int) -> DataFrame:
+    """Pages (with their host) and their host's path. Winners are broadcast while there are few hosts; of more, only those of
+    hosts with over one in MOST_HOT of all pages, of which there are MOST_HOT at most, and the other hosts are shuffled."""
+    sizes = winners.agg(F.count("*").alias("hosts"), F.sum("pages").alias("pages")).first()
+    paths = winners.select("host", "path")
+    if sizes.hosts <= broadcast_hosts:
+        return pages.join(F.broadcast(paths), "host", "left")
+    is_hot = F.col("pages") > (sizes.pages or 0) / MOST_HOT
+    hot, cold = winners.filter(is_hot).select("host", "path"), winners.filter(~is_hot).select("host", "path")
+    met = pages.join(F.broadcast(hot), "host")
+    return met.unionByName(pages.join(F.broadcast(hot.select("host")), "host", "left_anti").join(cold, "host", "left"))
 
 
-def extract(pages: DataFrame, broadcast_hosts: int = 100_000) -> DataFrame:
-    """Main text of every page (columns page_id, url, html).
+def extract(pages: DataFrame, broadcast_hosts: int = MOST_HOT) -> DataFrame:
+    """Main text of every page (columns page_id, url, html; others, whatever their names, play no part).
 
-    A null or empty page gives an empty text; a null or strange url counts as the host "". Repeated rows each
-    give a row. Winning paths are broadcast while there are at most `broadcast_hosts` hosts, else joined.
+    A null or empty page gives an empty text; a null or strange url counts as the host "". Repeated rows each give a row,
+    an empty table gives none. Votes that tie go to the shorter, then the smaller path. A page of any length and nesting is
+    read whole, in time and memory that grow with its length.
     """
     pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     winners = stash(winning_paths(pages), "paths")
-    known = winners.count() <= broadcast_hosts
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1))
-    joined = pages.withColumn("host", host).join(F.broadcast(winners) if known else winners, "host", "left").select("page_id", "url", "html", "path")
+    joined = with_paths(pages.withColumn("host", host), winners, broadcast_hosts).select("page_id", "url", "html", "path")
 
     def make():
         def work(batch):

@@ -1,6 +1,7 @@
 """Line rules, language ID, quality, media and HTML."""
 
 import hashlib
+import itertools
 import struct
 import zlib
 
@@ -10,11 +11,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tallyrun.llm.html_extract import best_paths, extract, host_of, score, text_under, top_of
-from tallyrun.llm.langid_crf import Labeller, Training, draw_bound, fit_crf, forward_backward, identify, keep_identified, training_sample
+from tallyrun.llm.html_extract import best_path, extract, host_of, main_text, score, text_under
+from tallyrun.llm.langid_crf import CRF, Labeller, Training, draw_bound, expectations, fit_crf, forward_backward, identify, keep_identified, training_sample
 from tallyrun.llm.line_rules import LineRules, clean_lines, judge, keep_clean, repeat_words
 from tallyrun.llm.media_iso import MediaError, box, describe, full, media_columns, pad_payload, parse_media, read_media, read_samples, write_media
-from tallyrun.llm.quality_qda import STATISTICS, fit_moments, quality, statistics
+from tallyrun.llm.quality_qda import STATISTICS, document_statistics, fit, fit_moments, quality, statistics
 
 from .conftest import EDGE_TEXTS
 
@@ -112,6 +113,88 @@ def test_identify(make_docs):
     assert identify(make_docs(rows).limit(0)).count() == 0
 
 
+def test_gradient_of_the_chain():
+    """Expected counts of labels and of label pairs are the derivatives of the log partition function."""
+    rng = np.random.default_rng(5)
+    sizes, labels = np.array([4, 1, 3]), 3
+    emit, trans, start = rng.normal(size=(8, labels)), rng.normal(size=(labels, labels)), rng.normal(size=labels)
+
+    def log_z(emit, trans, start):
+        total, at = 0.0, 0
+        for n in sizes:
+            total += np.log(sum(np.exp(start[p[0]] + sum(emit[at + k, p[k]] for k in range(n)) + sum(trans[p[k - 1], p[k]] for k in range(1, n))) for p in itertools.product(range(labels), repeat=int(n))))
+            at += n
+        return total
+
+    starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+    inner = np.setdiff1d(np.arange(8), starts)
+    posterior, pair = expectations(emit, sizes, trans, start, inner)
+    for what, expected in ((emit, posterior), (trans, pair), (start, posterior[starts].sum(axis=0))):
+        for at in np.ndindex(what.shape):
+            what[at] += 1e-5
+            up = log_z(emit, trans, start)
+            what[at] -= 2e-5
+            down = log_z(emit, trans, start)
+            what[at] += 1e-5
+            assert abs((up - down) / 2e-5 - expected[at]) < 1e-6
+
+
+def test_threshold_rejects_words_of_no_language(make_docs):
+    """Words without any learned feature are as likely in each of four languages, so their best posterior is a quarter."""
+    lexicon = {w: i + 1 for i, w in enumerate([b"the", b"der", b"le", b"el"])}
+    weights = np.vstack([np.zeros(4), 9 * np.eye(4)]).astype(np.float32)
+    model = CRF(list("abcd"), np.zeros((1 << 15, 4), np.float32), lexicon, weights, np.zeros((4, 4)), np.zeros(4), 15)
+    docs = make_docs([(1, "the the the the"), (2, "xx yy zz xx"), (3, "the der le el"), (4, "the xx yy zz"), (5, "the der xx yy")])
+    assert [round(s, 2) for _, _, s in Labeller(model).judge(["the the", "xx yy", "the xx yy zz"])] == [1.0, 0.25, 0.44]
+    assert sorted(r.doc_id for r in keep_identified(docs, model).collect()) == [1, 3, 4, 5]
+    assert sorted(r.doc_id for r in keep_identified(docs, model, least=0.5).collect()) == [1, 3, 5]
+
+
+def test_training_texts_are_bounded_over_languages(make_docs):
+    docs = make_docs([(i, f"{'wort ' * 20}{i}", f"l{i % 5}") for i in range(100)])
+    found = training_sample(docs, Training(docs_per_lang=20, most_chars=5 * 350), "doc_id", "text", "lang")
+    sizes = {lang: sum(len(t) for k, t in found if k == lang) for lang, _ in found}
+    assert len(sizes) == 5 and all(100 < n <= 350 for n in sizes.values())
+    assert len(training_sample(docs, Training(docs_per_lang=20, most_chars=5), "doc_id", "text", "lang")) == 5
+
+
+def test_clashing_columns_and_empty_tables(make_docs, spark):
+    """Columns with the operators' own names play no part and come through; empty tables give none or stay empty."""
+    names = ["n_words", "kept", "held_out", "lang_pred", "score", "predicted", "x", "k", "v", "n_bytes", "feature", "codec", "error", "cleaned", "draw", "y", "id", "data"]
+    docs = make_docs([(1, PROSE, "en"), (2, PROSE.replace("the", "der"), "de"), (3, None, "en")]).withColumns({n: F.lit(n) for n in names})
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int").withColumn("x", F.lit("x")).withColumn("score", F.lit("y"))
+    assert clean_lines(docs).count() == media_columns(docs).count() == identify(docs).count() == quality(docs, labels).count() == 3
+    model = fit_crf([("en", PROSE)], Training(steps=2))
+    for kept in (keep_clean(docs), keep_identified(docs, model)):
+        assert kept.columns == docs.columns and all(r[n] == n for r in kept.collect() for n in names)
+    none = docs.limit(0)
+    for empty in (clean_lines(none), keep_clean(none), keep_identified(none, model), identify(none), quality(none, labels), quality(none, labels.limit(0)), media_columns(none), parse_media(none.select(F.col("doc_id").alias("id"), F.lit(b"x").alias("data")))):
+        assert empty.count() == 0
+    files = spark.createDataFrame([(1, write_media(pad_payload(b"x")))] * 2, "id long, data binary").withColumn("codec", F.lit("mine"))
+    assert [r.codec for r in parse_media(files).collect()] == ["raw ", "raw "]
+
+
+def test_failing_lines_leave_the_text(make_docs):
+    text = PROSE + "\n\nHome | News | Contact | About\nclick here to subscribe to it all"
+    docs = make_docs([(1, text), (2, PROSE)]).withColumn("removed_share", F.lit("mine"))
+    got = {r.doc_id: r for r in keep_clean(docs).collect()}
+    assert got[1].text == PROSE + "\n" and got[2].text == PROSE and got[1].removed_share == "mine"
+
+
+def test_quality_sums_over_rows(make_docs, spark):
+    """The sums that Spark makes over all partitions are those of the labelled rows outside the held-out fold."""
+    rng = np.random.default_rng(0)
+    rows = [(i, " ".join(rng.choice(["the", "Word", "a1", "##", "ünd", "end."], size=rng.integers(1, 60)))) for i in range(120)]
+    stats = document_statistics(make_docs(rows))
+    labels = spark.createDataFrame([(i, i % 2 if i % 7 else None) for i in range(0, 120, 2)] + [(i, i % 3 % 2) for i in range(1, 120, 2)], "doc_id long, quality int").filter("crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0")
+    model = fit(stats, labels)
+    known = {r.doc_id: r.quality for r in labels.collect() if r.quality is not None}
+    x = {k: np.array([statistics(t.encode()) for i, t in rows if known.get(i) == k]) for k in (0, 1)}
+    want = fit_moments(np.array([len(x[0]), len(x[1])], float), np.stack([x[k].sum(axis=0) for k in (0, 1)]), np.stack([x[k].T @ x[k] for k in (0, 1)]))
+    assert np.allclose(model.means, want.means) and np.allclose(model.factors, want.factors, atol=1e-6) and np.allclose(model.log_priors, want.log_priors)
+    assert np.allclose(model.inverses @ model.factors, np.eye(model.factors.shape[1]))
+
+
 def test_training_sample(make_docs):
     """Rows that cannot be drawn do not count; the share drawn is never none, whatever the number of rows."""
     rows = [(i, None if i % 10 else f"der hund {i}", "de") for i in range(4000)] + [(5000 + i, "the " * 100 if i % 10 else f"the dog {i}", "en") for i in range(4000)]
@@ -204,6 +287,63 @@ def test_media_tables_in_other_forms():
     assert read_media(b"") == []
 
 
+def nested(kind: bytes, inner: bytes, depth: int) -> bytes:
+    return b"".join(struct.pack(">I4s", len(inner) + 8 * (depth - k), kind) for k in range(depth)) + inner
+
+
+def test_hostile_containers():
+    """What a file says neither ends the task nor fills its memory."""
+    track = lambda *t: box(b"moov", box(b"trak", box(b"mdia", box(b"minf", box(b"stbl", *t)))))
+    for bad in (track(box(b"mdhd")), track(box(b"hdlr")), track(box(b"tkhd")), track(full(b"stsz", struct.pack(">II", 0, 1 << 31))), track(full(b"stsz", struct.pack(">II", 9, 4_000_000_000))), track(full(b"stss", struct.pack(">II", 1, 5)))):
+        with pytest.raises(MediaError):
+            describe(bad)
+    many = track(full(b"stsz", struct.pack(">II", 9, 4_000_000_000)), full(b"stsc", struct.pack(">IIII", 1, 1, 4_000_000_000, 1)), full(b"stco", struct.pack(">II", 1, 100)))
+    d = describe(many)
+    assert (d["n_samples"], d["n_keyframes"], d["ranges"]) == (4_000_000_000, 4_000_000_000, [(100, 100 + 36_000_000_000)])
+    with pytest.raises(MediaError):
+        read_samples(many, d["track"])
+    assert read_media(nested(b"moov", b"", 50_000)) == []
+    with pytest.raises(MediaError):
+        read_media(nested(b"moov", b"1234567", 50) + b"\0\0\0\x07moov")
+
+
+def test_damaged_containers():
+    """Cut and changed files give their columns or a MediaError, nothing else."""
+    rng = np.random.default_rng(3)
+    whole = write_media(pad_payload(b"text " * 2000))
+    for cut in [*range(0, 700, 3), len(whole) - 1]:
+        try:
+            describe(whole[:cut])
+        except MediaError:
+            pass
+    for _ in range(3000):
+        bad = bytearray(whole)
+        for at in rng.integers(0, 700, rng.integers(1, 6)):
+            bad[at] = rng.choice([0, 1, 255, rng.integers(0, 256)])
+        try:
+            read_samples(bytes(bad), describe(bytes(bad))["track"])
+        except MediaError:
+            pass
+
+
+def test_fragments():
+    """Samples of movie fragments, by their own sizes and by defaults, key frames by flags, places from the fragment's start."""
+    media = box(b"mdia", full(b"mdhd", struct.pack(">IIIIHH", 0, 0, 10, 0, 0, 0)), full(b"hdlr", struct.pack(">I4s12x", 0, b"vide"), b"\0"), box(b"minf", box(b"stbl", full(b"stsd", struct.pack(">I", 1), box(b"avc1", bytes(78))), full(b"stsz", struct.pack(">II", 0, 0)))))
+    head = box(b"moov", box(b"trak", full(b"tkhd", struct.pack(">IIIII", 0, 0, 7, 0, 0)), media), box(b"mvex", full(b"trex", struct.pack(">5I", 7, 1, 2, 5, 0x10000))))
+    def first(offset):
+        return box(b"moof", full(b"mfhd", struct.pack(">I", 1)), box(b"traf", full(b"tfhd", struct.pack(">I", 7), flags=0x20000), full(b"trun", struct.pack(">Ii", 3, offset), *(struct.pack(">III", 2, size, key) for size, key in ((4, 0), (3, 0x10000), (5, 0))), flags=0x701)))
+    one = first(len(first(0)) + 8) + box(b"mdat", b"abcd" + b"efg" + b"hijkl")
+    def second(offset):
+        return box(b"moof", box(b"traf", full(b"tfhd", struct.pack(">II", 7, 2), flags=0x20010), full(b"trun", struct.pack(">IiI", 3, offset, 0), flags=5)))
+    two = second(len(second(0)) + 8) + box(b"mdat", b"mnopqr")
+    data = head + one + two
+    d = describe(data)
+    a, b = data.index(b"abcd"), data.index(b"mnopqr")
+    assert (d["codec"], d["n_samples"], d["n_keyframes"], d["duration_ms"]) == ("avc1", 6, 3, 1200)
+    assert d["ranges"] == [(a, a + 7), (a + 7, a + 12), (b, b + 6)]
+    assert read_samples(data, d["track"]) == b"abcdefghijklmnopqr"
+
+
 def test_media_columns(make_docs, spark):
     rows = {r.doc_id: r for r in media_columns(make_docs(EDGE_TEXTS), keep_media=True).collect()}
     for i, text in enumerate(EDGE_TEXTS):
@@ -230,7 +370,7 @@ with <b>bold</b> and <a href="x">a link</a> &lt;here&gt;.<p>Second &eacute;t&#23
 
 def text_of(page):
     found = score(page)
-    return text_under(found, top_of(best_paths(found)))
+    return text_under(found, best_path(found))
 
 
 def test_main_text():
@@ -271,6 +411,72 @@ def test_text_around_the_container():
     assert text_of(f"<body><div class='post'>{parts}</div>") == "\n".join(["\n".join([LONG] * 8 + [f"Between {i}."]) for i in range(3)])
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<p title=\"abc>hello world</p>", "hello world"),
+        ("<p title='abc>hello</p><a href='x'>link</a><p>it's more</p>", "hello\nlink\nit's more"),
+        ("<p title=\"a > b\" class=x>hello</p>", "hello"),
+        ("<p data='<b>'>hello</p>", "hello"),
+        ("<p a=b\"c>hello</p>", "hello"),
+        ("<p>hello</p><a href=\"http://cut", "hello"),
+        ("<p>a&#" + "1" * 5000 + ";b&#x" + "0" * 5000 + "41;</p>", "a\ufffdbA"),
+        ("<p =a==b / c>hello</p/ x>", "hello"),
+    ],
+)
+def test_tags_with_broken_attributes(page, want):
+    assert text_of(page) == want
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<div>", "<div>x", "<p title=\"abc>hello ", "<p a='\">b ", "<b><div>x</b>", "<ul><li>x", "<li>x", "<!--", "<title>a</titl", "&#1", "<a href='", "< <3 "])
+def test_long_pages_take_linear_time(unit):
+    import time
+
+    def seconds(size):
+        page = unit * (size // len(unit))
+        began = time.process_time()
+        main_text(score(page), None)
+        return time.process_time() - began
+
+    seconds(50_000)
+    assert seconds(1_000_000) < 12 * max(seconds(200_000), 0.1)
+
+
+def test_random_pages():
+    """Trees of random containers around a known text, with regions that are none: the text comes out, and nothing else."""
+    import random
+
+    for seed in range(150):
+        rng = random.Random(seed)
+        word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
+        prose = lambda n: " ".join(word() for _ in range(n)) + "."
+        junk = lambda: rng.choice([
+            f"<nav><ul>{''.join(f'<li><a href=x>{word()}</a>' for _ in range(5))}</ul></nav>", f"<div class='sidebar'><p>{prose(20)}</p></div>", f"<div class=\"cookie-notice\"><p>{prose(15)}</p></div>",
+            f"<form><input name=a><p>{prose(5)}</p></form>", f"<script>var a='<p>{word()}</p>';</script>", f"<div class='ad-{rng.randrange(99)}'>{prose(6)}</div>", f"<div id=comments><p>{prose(40)}</p></div>", "<!-- <p>no</p> -->", f"<aside>{prose(9)}</aside>", f"<style>p{{}}</style><footer>{prose(4)}</footer>",
+        ])
+        blocks, want = [], []
+        for _ in range(rng.randint(3, 9)):
+            text = prose(rng.randint(15, 50))
+            tag = rng.choice(["p", "p", "p", "h2", "blockquote", "li"])
+            inner = text.replace(" ", rng.choice([" ", "\n  ", "&#32;", "  "]), 3)
+            if rng.random() < 0.5:
+                first, rest = inner.split(maxsplit=1)
+                inner = f"<b class='x{rng.randrange(9)}'>{first}</b> {rest}"
+            blocks.append(f"<ul><li>{inner}</ul>" if tag == "li" else f"<{tag}>{inner}" + ("" if tag == "p" and rng.random() < 0.3 else f"</{tag}>"))
+            want.append(text)
+            if rng.random() < 0.3:
+                blocks.append(junk())
+        body = "".join(blocks)
+        for _ in range(rng.randint(1, 5)):
+            body = f"<{(t := rng.choice(['div', 'section', 'div', 'article', 'main']))} class='{word()}-{rng.randrange(99)}'>{body}</{t}>"
+            if rng.random() < 0.5:
+                body = junk() + body
+            if rng.random() < 0.5:
+                body += junk()
+        page = f"<!DOCTYPE html><html><head><title>T</title></head><body>{junk()}{body}{junk()}</body></html>"
+        assert text_of(page) == "\n".join(want), seed
+
+
 def test_two_layouts_on_a_host(spark):
     """A page with one short line under the host's path is read by its own container."""
     usual = f"<body><div class='a'><p>{LONG}</p></div>"
