@@ -2,8 +2,10 @@
 
 Writing: a text's bytes become the frames of a raw RGB track (8 x 8 pixels, 192 bytes, 8-bit
 samples), the size of a box's content decides nothing else, so equal texts give equal files.
-Reading: boxes are walked at any depth, the sample tables give every sample's place, and
-codec, duration and the byte ranges that open with a key frame are kept as columns.
+Reading: boxes are walked at any depth with a stack, the sample tables (and the runs of movie fragments) give every
+sample's place, and codec, duration and the byte ranges that open with a key frame are kept as columns. Tables are
+checked against their box before they are read, and samples of one constant size are never listed, so memory stays
+within a few times the bytes given, whatever these say.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -104,130 +107,258 @@ def boxes(data: memoryview, start: int, end: int) -> Iterator[tuple[bytes, int,
         start += size
 
 
+@dataclass
+class Samples:
+    """Samples in chunks: `sizes` is one size of all or an array; `keys` are places (from 0) of key frames, None if all are."""
+
+    sizes: int | np.ndarray
+    chunks: np.ndarray
+    counts: np.ndarray
+    keys: np.ndarray | None
+
+    def __post_init__(self):
+        self.n = int(self.counts.sum())
+        self.first = np.cumsum(self.counts) - self.counts
+        self.before = None if isinstance(self.sizes, int) else np.concatenate([[0], np.cumsum(self.sizes)])
+        largest = self.sizes * self.n if self.before is None else int(self.before[-1])
+        if largest >= 1 << 62 or len(self.chunks) and int(self.chunks.max()) >= 1 << 62:
+            raise MediaError("sizes or places are out of range")
+
+    def upto(self, k: np.ndarray) -> np.ndarray:
+        """Bytes of the samples before the k-th."""
+        return k * self.sizes if self.before is None else self.before[k]
+
+    def ranges(self, by_key: bool = True) -> list[tuple[int, int]]:
+        """Byte ranges [from, to) of runs of adjacent samples, which also end before each key frame if not all are such."""
+        on = np.flatnonzero(self.counts)
+        if not len(on):
+            return []
+        first, places = self.first[on], self.chunks[on]
+        ends = places + self.upto(first + self.counts[on]) - self.upto(first)
+        opens = first[np.concatenate([[True], places[1:] != ends[:-1]])]
+        if by_key and self.keys is not None:
+            opens = np.union1d(opens, self.keys)
+        closes = np.append(opens[1:], self.n) - 1
+
+        def place(k: np.ndarray, more: int) -> np.ndarray:
+            c = np.searchsorted(first, k, "right") - 1
+            return places[c] + self.upto(k + more) - self.upto(first[c])
+
+        return list(zip(place(opens, 0).tolist(), place(closes, 1).tolist(), strict=True))
+
+
 @dataclass
 class Track:
+    track_id: int = 0
     handler: str = ""
     codec: str = ""
     timescale: int = 0
     duration: int = 0
-    sizes: list[int] = field(default_factory=list)
-    durations: list[tuple[int, int]] = field(default_factory=list)
-    chunk_runs: list[tuple[int, int, int]] = field(default_factory=list)
-    chunks: list[int] = field(default_factory=list)
-    keys: list[int] | None = None
-
-    def samples(self) -> list[tuple[int, int]]:
-        """(place, size) of each sample, by chunk."""
-        out, k = [], 0
-        for r, (first, per_chunk, _) in enumerate(self.chunk_runs):
-            upto = self.chunk_runs[r + 1][0] if r + 1 < len(self.chunk_runs) else len(self.chunks) + 1
-            for place in self.chunks[first - 1 : upto - 1]:
-                for size in self.sizes[k : k + per_chunk]:
-                    out.append((place, size))
-                    place += size
-                k += per_chunk
-        if len(out) != len(self.sizes):
+    sizes: int | np.ndarray | None = None
+    n_sizes: int = 0
+    ticks: int = 0
+    chunk_runs: np.ndarray | None = None
+    chunks: np.ndarray | None = None
+    keys: np.ndarray | None = None
+    fragments: list[Samples] = field(default_factory=list)
+
+    def parts(self) -> list[Samples]:
+        """The samples of the tables, then those of each fragment's runs."""
+        chunks = np.zeros(0, np.int64) if self.chunks is None else self.chunks
+        runs = np.zeros((0, 3), np.int64) if self.chunk_runs is None else self.chunk_runs
+        counts = np.zeros(len(chunks), np.int64)
+        if len(runs) and len(chunks):
+            if runs[0, 0] != 1 or (np.diff(runs[:, 0]) <= 0).any():
+                raise MediaError("the runs of chunks are out of order")
+            counts = runs[np.searchsorted(runs[:, 0], np.arange(1, len(chunks) + 1), "right") - 1, 1]
+        if int(counts.sum()) != self.n_sizes:
             raise MediaError("the sample tables disagree")
-        return out
+        keys = self.keys
+        if keys is not None:
+            keys = np.unique(keys) - 1
+            if len(keys) and (keys[0] < 0 or keys[-1] >= self.n_sizes):
+                raise MediaError("a key frame is no sample")
+        own = [Samples(0 if self.sizes is None else self.sizes, chunks, counts, keys)] if self.n_sizes else []
+        return own + self.fragments
 
     def key_ranges(self) -> list[tuple[int, int]]:
-        """Byte ranges [from, to) that open with a key frame and end before the next one, split where bytes are not adjacent."""
-        samples = self.samples()
-        keys = set(range(1, len(samples) + 1) if self.keys is None else self.keys)
-        out: list[list[int]] = []
-        for i, (place, size) in enumerate(samples, 1):
-            if i in keys or not out or out[-1][1] != place:
-                out.append([place, place + size])
-            else:
-                out[-1][1] = place + size
-        return [(a, b) for a, b in out]
+        """Byte ranges [from, to) that open with a key frame and end before the next one, split where bytes are not adjacent.
+
+        Where every sample is a key frame a range is a whole run of adjacent samples."""
+        return [r for part in self.parts() for r in part.ranges()]
 
 
 def read_media(data: bytes) -> list[Track]:
     """The tracks of a container. Payload boxes are passed over."""
-    view, tracks = memoryview(data), []
-
-    def numbers(code: str, at: int, end: int, n: int):
-        if at + n * struct.calcsize(">" + code) > end:
+    view = memoryview(data)
+    tracks: list[Track] = []
+    defaults: dict[int, tuple[int, int, int]] = {}
+
+    def take(code: str, at: int, end: int) -> tuple:
+        if at + struct.calcsize(">" + code) > end:
+            raise MediaError("a box is cut off")
+        return struct.unpack_from(">" + code, view, at)
+
+    def numbers(kind: str, at: int, end: int, n: int, columns: int = 1) -> np.ndarray:
+        size = np.dtype(kind).itemsize * columns
+        if at + n * size > end:
             raise MediaError("a table is cut off")
-        return list(struct.iter_unpack(">" + code, view[at : at + n * struct.calcsize(">" + code)]))
+        wide = np.frombuffer(view, kind, n * columns, at)
+        if kind == ">u8" and n and int(wide.max()) >= 1 << 63:
+            raise MediaError("sizes or places are out of range")
+        out = wide.astype(np.int64)
+        return out.reshape(n, columns) if columns > 1 else out
+
+    def table(track: Track, kind: bytes, a: int, b: int) -> None:
+        if kind == b"tkhd":
+            (track.track_id,) = take("I", a + (20 if take("B", a, b)[0] else 12), b)
+        elif kind == b"mdhd":
+            track.timescale, track.duration = take("IQ", a + 20, b) if take("B", a, b)[0] else take("II", a + 12, b)
+        elif kind == b"hdlr":
+            track.handler = take("4s", a + 8, b)[0].decode("latin-1")
+        elif kind == b"stsd":
+            track.codec = ",".join(k.decode("latin-1") for k, _, _ in boxes(view, a + 8, b))
+        elif kind == b"stsz":
+            size, n = take("II", a + 4, b)
+            track.sizes, track.n_sizes = (size if size else numbers(">u4", a + 12, b, n)), n
+        elif kind == b"stz2":
+            bits, n = take("BI", a + 7, b)
+            if bits not in (4, 8, 16):
+                raise MediaError("a sample size has an odd width")
+            if bits == 4:
+                halves = numbers("u1", a + 12, b, (n + 1) // 2)
+                track.sizes = np.stack([halves >> 4, halves & 15], axis=1).ravel()[:n]
+            else:
+                track.sizes = numbers("u1" if bits == 8 else ">u2", a + 12, b, n)
+            track.n_sizes = n
+        elif kind == b"stts":
+            rows = numbers(">u4", a + 8, b, take("I", a + 4, b)[0], 2)
+            track.ticks = sum(n * d for n, d in rows.tolist())
+        elif kind == b"stsc":
+            track.chunk_runs = numbers(">u4", a + 8, b, take("I", a + 4, b)[0], 3)
+        elif kind == b"stss":
+            track.keys = numbers(">u4", a + 8, b, take("I", a + 4, b)[0])
+        elif kind in (b"stco", b"co64"):
+            track.chunks = numbers(">u4" if kind == b"stco" else ">u8", a + 8, b, take("I", a + 4, b)[0])
+
+    def fragment(start: int, a: int, b: int, end: int) -> int:
+        """The runs of one track in the fragment that starts at `start`; `end` is where the runs of the track before end."""
+        track, base, size, duration, flags, at = None, start, 0, 0, 0, end
+        for kind, x, y in boxes(view, a, b):
+            if kind == b"tfhd":
+                has, number = take("II", x, y)
+                has &= 0xFFFFFF
+                track = next((t for t in tracks if t.track_id == number), None)
+                duration, size, flags = defaults.get(number, (0, 0, 0))
+                x += 8
+                if has & 1:
+                    (base,), x = take("Q", x, y), x + 8
+                elif not has & 0x20000:
+                    base = end  # data follow those of the track before
+                x += 4 * bool(has & 2)
+                if has & 8:
+                    (duration,), x = take("I", x, y), x + 4
+                if has & 0x10:
+                    (size,), x = take("I", x, y), x + 4
+                if has & 0x20:
+                    (flags,), x = take("I", x, y), x + 4
+                at = base
+            elif kind == b"trun" and track is not None:
+                has, n = take("II", x, y)
+                has &= 0xFFFFFF
+                x += 8
+                if has & 1:
+                    at, x = base + take("i", x, y)[0], x + 4
+                first_flags = None
+                if has & 4:
+                    (first_flags,), x = take("I", x, y), x + 4
+                columns = [c for c in (0x100, 0x200, 0x400, 0x800) if has & c]
+                rows = numbers(">u4", x, y, n, len(columns)).reshape(n, len(columns)) if columns else None
+                of = {c: rows[:, i] for i, c in enumerate(columns)}
+                if at < 0 or at >= 1 << 62:
+                    raise MediaError("sizes or places are out of range")
+                track.ticks += int(of[0x100].sum()) if 0x100 in of else n * duration
+                keys = np.flatnonzero(of[0x400] & 0x10000 == 0) if 0x400 in of else None if not flags & 0x10000 else np.zeros(0, np.int64)
+                if first_flags is not None and n and 0x400 not in of and (first_flags ^ flags) & 0x10000:
+                    if keys is not None:
+                        keys = np.zeros(1, np.int64)
+                    elif n <= len(data):
+                        keys = np.arange(1, n)
+                    else:
+                        raise MediaError("a run has more samples than bytes")
+                run = Samples(of.get(0x200, size), np.array([at], np.int64), np.array([n], np.int64), keys)
+                track.fragments.append(run)
+                at += int(run.upto(np.int64(n)))
+        return at
 
-    def walk(start: int, end: int, track: Track | None) -> None:
-        for kind, a, b in boxes(view, start, end):
+    try:
+        # (place, end, track, kind, start of the box around) of what is still to be read, the next at the end
+        stack = [(boxes(view, 0, len(data)), None, 0)]
+        fragment_end = 0
+        while stack:
+            walk, track, start = stack[-1]
+            found = next(walk, None)
+            if found is None:
+                stack.pop()
+                continue
+            kind, a, b = found
             if kind == b"trak":
-                tracks.append(own := Track())
-                walk(a, b, own)
+                tracks.append(Track())
+                stack.append((boxes(view, a, b), tracks[-1], a))
+            elif kind == b"moof":
+                fragment_end = _box_start(view, a)
+                stack.append((boxes(view, a, b), None, fragment_end))
+            elif kind == b"traf":
+                fragment_end = fragment(start, a, b, fragment_end)
             elif kind in CONTAINERS:
-                walk(a, b, track)
-            elif track is None:
-                continue
-            elif kind == b"mdhd":
-                track.timescale, track.duration = struct.unpack_from(">IQ", view, a + 20) if view[a] else struct.unpack_from(">II", view, a + 12)
-            elif kind == b"hdlr":
-                track.handler = bytes(view[a + 8 : a + 12]).decode("latin-1")
-            elif kind == b"stsd":
-                track.codec = ",".join(k.decode("latin-1") for k, _, _ in boxes(view, a + 8, b))
-            elif kind == b"stsz":
-                size, n = struct.unpack_from(">II", view, a + 4)
-                track.sizes = [size] * n if size else [x for (x,) in numbers("I", a + 12, b, n)]
-            elif kind == b"stz2":
-                bits, n = view[a + 7], struct.unpack_from(">I", view, a + 8)[0]
-                if bits == 4:
-                    halves = [h for x in view[a + 12 : a + 12 + (n + 1) // 2] for h in (x >> 4, x & 15)]
-                    track.sizes = halves[:n]
-                else:
-                    track.sizes = [x for (x,) in numbers("B" if bits == 8 else "H", a + 12, b, n)]
-            elif kind in (b"stts", b"stss", b"stsc", b"stco", b"co64"):
-                n = struct.unpack_from(">I", view, a + 4)[0]
-                rows = numbers({b"stts": "II", b"stsc": "III", b"co64": "Q"}.get(kind, "I"), a + 8, b, n)
-                if kind == b"stts":
-                    track.durations = rows
-                elif kind == b"stsc":
-                    track.chunk_runs = rows
-                elif kind == b"stss":
-                    track.keys = [x for (x,) in rows]
-                else:
-                    track.chunks = [x for (x,) in rows]
-
-    try:
-        walk(0, len(data), None)
-    except struct.error as e:
+                stack.append((boxes(view, a, b), track, start))
+            elif kind == b"trex":
+                number, _, *rest = take("5I", a + 4, b)
+                defaults[number] = tuple(rest)
+            elif track is not None:
+                table(track, kind, a, b)
+    except (struct.error, OverflowError) as e:
         raise MediaError(str(e)) from e
     return tracks
 
 
+def _box_start(view: memoryview, content: int) -> int:
+    """Where the box starts whose content starts here: its head has 8 bytes, or 16 if its size is 64 bits wide."""
+    return content - 16 if content >= 16 and struct.unpack_from(">I", view, content - 16)[0] == 1 and bytes(view[content - 12 : content - 8]) == b"moof" else content - 8
+
+
 def describe(data: bytes) -> dict:
     """Columns of a container: the first video track, else the first track."""
     tracks = read_media(data)
     if not tracks:
         raise MediaError("no track")
     track = next((t for t in tracks if t.handler == "vide"), tracks[0])
-    ticks = sum(n * d for n, d in track.durations) or track.duration
-    ranges = track.key_ranges()
-    return {"track": track, "codec": track.codec, "duration_ms": round(1000 * ticks / track.timescale) if track.timescale else None, "n_samples": len(track.sizes), "n_keyframes": len(track.sizes) if track.keys is None else len(track.keys), "ranges": ranges}
+    parts = track.parts()
+    ticks = track.ticks or track.duration
+    ms = round(1000 * ticks / track.timescale) if track.timescale else None
+    n, n_keys = sum(p.n for p in parts), sum(p.n if p.keys is None else len(p.keys) for p in parts)
+    if max(n, ms or 0) >= 1 << 63:
+        raise MediaError("sizes or places are out of range")
+    return {"track": track, "codec": track.codec, "duration_ms": ms, "n_samples": n, "n_keyframes": n_keys, "ranges": track.key_ranges()}
 
 
 def read_samples(data: bytes, track: Track) -> bytes:
     """The stored samples in order; neighbours are copied together."""
-    out, view = [], memoryview(data)
-    at = to = None
-    for place, size in track.samples():
-        if place + size > len(data):
-            raise MediaError("a sample lies outside the file")
-        if place != to:
-            if at is not None:
-                out.append(view[at:to])
-            at = place
-        to = place + size
-    if at is not None:
-        out.append(view[at:to])
+    view, out = memoryview(data), []
+    for part in track.parts():
+        for a, b in part.ranges(by_key=False):
+            if b > len(data):
+                raise MediaError("a sample lies outside the file")
+            out.append(view[a:b])
     return b"".join(out)
 
 
 def parse_media(files: DataFrame, id_col: str = "id", data_col: str = "data") -> DataFrame:
     """Codec, duration and key-frame byte ranges of container files in a binary column.
 
-    Null or unreadable bytes give nulls and the reason in `error`; nothing is dropped.
+    Null, empty or unreadable bytes give nulls and the reason in `error`; nothing is dropped and no file ends the task.
+    Repeated rows each give a row, an empty table gives none, and only the two columns are read, so others may have any
+    name. Ranges may lie beyond the bytes given, as where only a file's head was fetched.
     """
 
     def make():
@@ -252,7 +383,8 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Store each text as a container, read it back through its tables, and give digests and media columns.
 
     A null text counts as empty and becomes one frame of blanks. Equal texts give equal values; repeated
-    rows each give a row; only the id and the text are read. With `keep_media` the file itself is a column.
+    rows each give a row, an empty table none; only the id and the text are read, so others may have any name. A text of any
+    length is one file. With `keep_media` the file itself is a column.
     """
 
     def make():
