@@ -50,7 +50,9 @@ class NearDupes:
     mantissa: int = 10
     #: estimates below this are not confirmed
     estimate: float = 0.58
-    #: members of a block in steps 3 and 4, registers of their longer signature (a byte each) and its least estimate
+    #: partners whose sets are confirmed with one copy of a leader's
+    partners: int = 64
+    #: members of a block in step 4, registers of their longer signature (a byte each) and its least estimate
     block: int = 512
     fine_registers: int = 1024
     fine_estimate: float = 0.69
@@ -300,7 +302,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, how: NearDupes) -> DataFrame:
 
     A block holds a's set, which comes first, and the sets of some of its partners, which pass one behind the other.
     """
-    blocks = F.ceil(F.col("m") / how.block).cast("int")
+    blocks = F.ceil(F.col("m") / how.partners).cast("int")
     placed = pairs.select("a", "b", F.pmod(F.xxhash64("b"), blocks).cast("int").alias("block"))
     own = placed.select("a", "block").distinct().join(sets.withColumnRenamed("node", "a"), "a").select("a", "block", F.lit(-1).cast("long").alias("b"), "shingles")
     theirs = placed.join(sets.withColumnRenamed("node", "b"), "b").select("a", "block", "b", "shingles")
@@ -464,7 +466,7 @@ def verdicts(docs: DataFrame, how: NearDupes) -> DataFrame:
     fine = fine_signatures(sets.join(members.select("node").distinct(), "node", "left_semi"), how)
     rest = blocked_pairs(members.join(described.join(fine, "node"), "node"), how)
     known = [F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")]
-    rest = rest.select("*", *known).join(candidates.select(*known), ["lo", "hi"], "left_anti").select("a", "b", "m")
+    rest = stash(rest.select("*", *known).join(candidates.select(*known), ["lo", "hi"], "left_anti").select("a", "b", "m"), "rest")  # read twice
     more = stash(confirm(rest, sets, how), "more")
     of = labels.select(F.col("node").alias("a"), F.col("label").alias("a_label"))
     to = labels.select(F.col("node").alias("b"), F.col("label").alias("b_label"))
@@ -480,7 +482,7 @@ def verdicts(docs: DataFrame, how: NearDupes) -> DataFrame:
     stays = F.col("first").isNotNull() & F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull() & (F.col("row") == F.col("first")))
     result = result.select("doc_id", "text_key", "text_key2", "n_shingles", "fp", F.coalesce("component_id", "doc_id").alias("component_id"), (F.col("fp").isNull() | stays).alias("kept"))
     result = stash(result, "verdicts")
-    for old in (rows, classes, stars, shared, candidates, sets, links, labels, mixed, members, more, joined, named, least):
+    for old in (rows, classes, stars, shared, candidates, sets, links, labels, mixed, members, rest, more, joined, named, least):
         unstash(old)
     return result
 
