@@ -11,13 +11,14 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import by_bytes, map_batches, strings, tokenizer_path
-from .token_units import UnitCache, byte_alphabet, byte_level_units
+from .common import held, map_batches, tokenizer_path
+from .token_units import TextEncoder, UnitCache, byte_alphabet, ragged
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 NEVER = 1 << 60
@@ -62,6 +63,10 @@ class BacktrackingBPE:
             content[i] = t.encode()
         self.offsets = np.concatenate([[0], np.cumsum([len(c) for c in content])])
         self.buffer = np.frombuffer(b"".join(content), np.uint8)
+        text = [b"%d," % i for i in range(size)]
+        self.text_offsets = np.concatenate([[0], np.cumsum([len(t) for t in text])])
+        self.text = np.frombuffer(b"".join(text), np.uint8)
+        self.units = TextEncoder(UnitCache(self.encode_units, "<u4"))
 
     def spine(self, token: str, side: int) -> list[tuple[str, int]]:
         """The nodes of a token's merge tree along one edge, from the byte up, each with the rank that absorbs it into the next."""
@@ -142,74 +147,68 @@ class BacktrackingBPE:
                     ids += [self.id[t] for t in self.encode_piece(piece)]
         return ids
 
-    def decode(self, ids: np.ndarray, step: int = 1 << 20) -> bytes:
-        """Bytes of the ids, copied out of one buffer by the offset table."""
-        out = []
-        for k in range(0, len(ids), step):
-            part = ids[k : k + step].astype(np.int64)
-            start = self.offsets[part]
-            size = self.offsets[part + 1] - start
-            ends = np.cumsum(size)
-            out.append(self.buffer[np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)].tobytes())
-        return b"".join(out)
+    def encode_units(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the units, and each one's number of ids."""
+        out = [self.encode(u.decode("utf-8", "replace")) for u in units]
+        return np.fromiter(chain.from_iterable(out), "<u4"), np.array(list(map(len, out)), np.int64)
+
+    def decode(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of the ids, copied out of one buffer by the offset table, and where those of each stretch of ids start."""
+        ids = ids.astype(np.int64)
+        sizes = self.offsets[ids + 1] - self.offsets[ids]
+        return ragged(self.buffer, self.offsets[ids], sizes), np.concatenate([[0], np.cumsum(sizes)])[at]
+
+    def decimals(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids as decimal text with commas between those of a stretch, and where each stretch starts."""
+        ids = ids.astype(np.int64)
+        starts, sizes = self.text_offsets[ids], self.text_offsets[ids + 1] - self.text_offsets[ids]
+        sizes[at[1:][at[1:] > at[:-1]] - 1] -= 1  # no comma behind the last
+        return ragged(self.text, starts, sizes), np.concatenate([[0], np.cumsum(sizes)])[at]
 
 
 def encode_decode(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """Encode every whole text, decode the ids again, and return counts and digests (with `keep_ids` also the ids).
 
     A null text counts as empty: 0 tokens, digests of the empty string. Repeated rows each give
-    a row; an empty table gives none; only the id and the text column are read.
+    a row; an empty table gives none; only the id and the text column are read, so others may have any name. A long text
+    is encoded whole.
     """
     path = tokenizer or tokenizer_path("byte_bpe_50k.json")
 
     def make():
         bpe = _worker(path)
-        cache = bpe.units
 
         def work(batch):
-            texts = [t or "" for t in strings(batch, "text")]
-            counts, ids_sha, text_sha, kept = [], [], [], []
-            for lo, hi in by_bytes([len(t) for t in texts], 1 << 18):
-                units = [byte_level_units(t) for t in texts[lo:hi]]
-                values = cache.values([u for us in units for u in us])
-                at = 0
-                for us in units:
-                    own = values[at : at + len(us)]
-                    at += len(us)
-                    ids = np.frombuffer(b"".join([v[0] for v in own]), "<u4")
-                    decoded = bpe.decode(ids).decode("utf-8", "replace")
-                    counts.append(len(ids))
-                    ids_sha.append(hashlib.sha256(",".join([v[1] for v in own]).encode()).hexdigest())
-                    text_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
-                    if keep_ids:
-                        kept.append(ids.astype(np.int32))
-            columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if keep_ids:
-                columns.append(pa.array(kept, pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            for first, ids, at in bpe.units.encode(batch.column("text")):
+                counts = np.diff(at)
+                text, text_at = bpe.decimals(ids, at)
+                decoded, decoded_at = bpe.decode(ids, at)
+                columns = [batch.column("doc_id").slice(first, len(counts)), pa.array(counts, pa.int64()), digests(text, text_at), digests(decoded, decoded_at, utf8=True)]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                if keep_ids:
+                    columns.append(pa.ListArray.from_arrays(at.astype(np.int32), pa.array(ids.astype(np.int32))))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
         return work
 
     return map_batches(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")), make, SCHEMA + (", ids array<int>" if keep_ids else ""))
 
 
-_WORKERS: dict[str, BacktrackingBPE] = {}
+def digests(data: np.ndarray, at: np.ndarray, utf8: bool = False) -> pa.Array:
+    """Hexadecimal sha256 of each stretch of bytes; with `utf8` of it as text, what is not UTF-8 replaced."""
+    view, out = memoryview(data), []
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        part = view[a:b]
+        if utf8:
+            try:
+                str(part, "utf-8")
+            except UnicodeDecodeError:
+                part = str(part, "utf-8", "replace").encode()
+        out.append(hashlib.sha256(part).hexdigest())
+    return pa.array(out, pa.string())
 
 
 def _worker(path: str) -> BacktrackingBPE:
     """One encoder for each worker process, kept from task to task."""
-    if path not in _WORKERS:
-        bpe = _WORKERS[path] = BacktrackingBPE(path)
-
-        def values(units):
-            out = []
-            for u in units:
-                ids = bpe.encode(u)
-                out.append((np.array(ids, "<u4").tobytes(), ",".join(map(str, ids))))
-            return out
-
-        bpe.units = UnitCache(values, limit=300_000)
-        bpe.units.join = lambda a, b: (a[0] + b[0], f"{a[1]},{b[1]}")
-    return _WORKERS[path]
+    return held(("bpe", path), lambda: BacktrackingBPE(path))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import itertools
 import os
+import sys
 import tempfile
 import uuid
 import zipfile
@@ -15,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: bytes of an Arrow batch; rows hold whole texts, so batches are bounded by size and not by number
+BATCH_BYTES = 4 << 20
 _SHIPPED: set[str] = set()
 _TEMP: dict[str, str] = {}
 
@@ -24,7 +28,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers that were not started with it on their path."""
+    """Make this package importable in Python workers that were not started with it on their path, and bound their batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     root = str(Path(__file__).resolve().parents[2])
     sc = spark.sparkContext
     on_path = root in os.environ.get("PYTHONPATH", "").split(":")
@@ -77,10 +82,31 @@ def map_batches(df: DataFrame, make: Callable[[], Callable], schema) -> DataFram
         for batch in batches:
             if batch.num_rows:
                 yield from work(batch)
+        del work
+        trim()
 
     return df.mapInArrow(run, schema)
 
 
+def trim() -> None:
+    """Give free memory back to the system, as a worker waits for its next task with what it has."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+_HELD: dict[tuple, object] = {}
+
+
+def held(key: tuple, make: Callable[[], object]):
+    """What an operator keeps in a worker process from task to task; a task of another operator drops it first."""
+    if key not in _HELD:
+        _HELD.clear()
+        trim()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def utf8(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     return batch.column(name).cast(pa.binary()).to_pylist()
 

@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import by_bytes, map_batches, strings, tokenizer_path
-from .token_units import UnitCache, byte_level_units, id_dtype, library_encoder
+from .common import held, map_batches, tokenizer_path
+from .token_units import TextEncoder, library_text_encoder
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int"
 END_ID = 1
@@ -29,43 +29,18 @@ def binary_lengths(tokens: int, longest: int) -> list[int]:
     return [longest] * whole + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
 
 
-class DocumentEncoder:
-    """Whole-text ids by the tokenizers library, followed by the end id."""
-
-    def __init__(self, path: str, units=byte_level_units, end_id: int = END_ID):
-        from tokenizers import Tokenizer
-
-        self.dtype = id_dtype(max(end_id + 1, Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True)))
-        self.cache, self.units = UnitCache(library_encoder(path)), units
-        self.end = np.array([end_id], self.dtype).tobytes()
-
-    def encode(self, texts: list[str]):
-        """Packed ids of each text."""
-        for lo, hi in by_bytes([len(t) for t in texts], 1 << 18):
-            units = [self.units(t) for t in texts[lo:hi]]
-            values = self.cache.values([u for us in units for u in us])
-            at = 0
-            for us in units:
-                yield b"".join(values[at : at + len(us)]) + self.end
-                at += len(us)
-
-
-_ENCODERS: dict[tuple, DocumentEncoder] = {}
-
-
-def document_encoder(path: str, units=byte_level_units, end_id: int = END_ID) -> DocumentEncoder:
-    key = (path, units.__name__, end_id)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = DocumentEncoder(path, units, end_id)
-    return _ENCODERS[key]
+def document_encoder(path: str, end_id: int = END_ID) -> TextEncoder:
+    """The encoder of a worker process: whole-text ids by the tokenizers library."""
+    return held(("documents", path, end_id), lambda: library_text_encoder(path, end_id + 1))
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, longest: int = 2048, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """One row per piece; with `keep_ids` also its ids.
 
     A null or empty text has just the end id: one piece of length 1. Repeated rows are packed
-    each by itself. An empty table gives no rows. Only the id and the text are read. A retried task
-    sees the same rows in the same order, so its sequence ids come out the same.
+    each by itself. An empty table gives no rows. Only the id and the text are read, so others may have any name. A long
+    text is encoded whole and gives as many pieces as it needs. A retried task sees the same rows in the same order, so
+    its sequence ids come out the same.
     """
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
@@ -77,26 +52,26 @@ def pack(docs: DataFrame, tokenizer: str | None = None, longest: int = 2048, id_
         if partition >> _PARTITION_BITS:
             raise ValueError("too many partitions for the sequence ids")
         placed = [0] * longest.bit_length()
+        names = [f.split(" ")[0] for f in SCHEMA.split(", ")]
 
         def work(batch):
-            ids_of, rows, kept = batch.column("doc_id").to_pylist(), [], []
-            for doc_id, packed in zip(ids_of, encoder.encode([t or "" for t in strings(batch, "text")]), strict=True):
-                ids = np.frombuffer(packed, encoder.dtype).astype("<u4")
-                view, start = memoryview(ids).cast("B"), 0
-                for n in binary_lengths(len(ids), longest):
-                    k = n.bit_length() - 1
-                    sequence = (k << _PARTITION_BITS | partition) << _PLACE_BITS | placed[k]
-                    placed[k] += 1
-                    rows.append((doc_id, start, n, zlib.crc32(view[4 * start : 4 * (start + n)]), len(ids), sequence, 0, k))
-                    if keep_ids:
-                        kept.append(ids[start : start + n].astype(np.int32))
-                    start += n
-            names = [f.split(" ")[0] for f in SCHEMA.split(", ")]
-            arrays = [pa.array(c, pa.int32() if name == "bucket" else pa.int64()) for name, c in zip(names, zip(*rows, strict=True), strict=True)]
-            if keep_ids:
-                arrays.append(pa.array(kept, pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+            ids_of = batch.column("doc_id").to_pylist()
+            for first, ids, at in encoder.encode(batch.column("text"), END_ID):
+                rows, ids = [], ids.astype("<u4")
+                view, at = memoryview(ids).cast("B"), at.tolist()
+                for k, (begin, end) in enumerate(zip(at, at[1:], strict=False), first):
+                    doc_id, start, total = ids_of[k], 0, end - begin
+                    for n in binary_lengths(total, longest):
+                        bucket = n.bit_length() - 1
+                        sequence = (bucket << _PARTITION_BITS | partition) << _PLACE_BITS | placed[bucket]
+                        placed[bucket] += 1
+                        rows.append((doc_id, start, n, zlib.crc32(view[4 * (begin + start) : 4 * (begin + start + n)]), total, sequence, 0, bucket))
+                        start += n
+                arrays = [pa.array(c, pa.int32() if name == "bucket" else pa.int64()) for name, c in zip(names, zip(*rows, strict=True), strict=True)]
+                if keep_ids:
+                    lengths = [r[2] for r in rows]
+                    arrays.append(pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32), pa.array(ids.astype(np.int32))))
+                yield pa.RecordBatch.from_arrays(arrays, names=[*names, *(["ids"] if keep_ids else [])])
 
         return work
 

@@ -1,115 +1,186 @@
-"""Exact whole-text encoding from independent text units, each encoded once per worker and remembered.
+"""Exact whole-text encoding from independent text units, each encoded once per batch and remembered within bounds.
 
-A unit is a stretch whose ids do not depend on its neighbours. For the byte-level
-pre-tokenizer a single blank before a word always joins that word, and a single
-newline between words always stands alone; so a text whose white space is only
-such blanks and newlines splits there. Any other text is one unit.
+A unit is a stretch whose ids do not depend on its neighbours. The pre-tokenizers here never join what stands before
+white space with that white space, nor an ASCII letter or a letter of Latin-1 with ASCII punctuation behind it, nor such
+punctuation with an ASCII letter behind it; only the apostrophe does, as it opens contractions. So texts are cut there,
+all of a batch at once over its bytes; Arrow's dictionary finds the distinct units, and ids are gathered by them.
+Two kinds of text are cut less: one that may hold a special token only before white space, and one with white space
+beyond ASCII, or separators on whose kind libraries differ, not at all.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import re
-from array import array
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator
+from itertools import chain, repeat
 
-_PAIRS = ("  ", "\n\n", " \n", "\n ")
-_EDGE = (" ", "\n")
-#: one pre-token each: letters, with or without a blank before them (dotted capital I changes its length when lowered)
-_WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+")
-_BARE_WORD = re.compile(r"[A-Za-zÀ-ÖØ-öø-įı-ɏ]+")
-#: a blank or none and letters, then punctuation without the apostrophe, which opens contractions
-_WORD_AND_TAIL = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]+)")
+import numpy as np
+import pyarrow as pa
 
+from .common import by_bytes
 
-def plain_spacing(text: str) -> bool:
-    """True if all white space is single blanks and newlines between words."""
-    if not text or text.startswith(_EDGE) or text.endswith(_EDGE) or "\0" in text or "᠎" in text:
-        return False
-    if any(p in text for p in _PAIRS):
-        return False
-    return len("".join(text.split())) + text.count(" ") + text.count("\n") == len(text)
+_BLANK, _LETTER, _MARK, _ODD, _LEAD = 1, 2, 4, 8, 16
 
 
-def byte_level_units(text: str) -> list[str]:
-    if not text:
-        return []
-    if not plain_spacing(text):
-        return [text]
-    return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+def _kinds() -> np.ndarray:
+    kinds = np.zeros(256, np.uint8)
+    kinds[list(b" \t\n\r\x0b\x0c")] = _BLANK
+    kinds[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = _LETTER
+    kinds[[b for b in range(0x21, 0x7F) if not chr(b).isalnum() and b != 0x27]] = _MARK
+    kinds[0x1C:0x20] = _ODD
+    kinds[[0xC2, 0xE1, 0xE2, 0xE3]] = _LEAD
+    return kinds
 
 
-def spaced_units(text: str) -> list[str]:
-    """For tokenizers that drop white space and lower-case: words between blanks and newlines.
+_KINDS = _kinds()
+
+
+def odd_spaces(data: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Places of separators and white space beyond ASCII (the Mongolian vowel separator included) in UTF-8."""
+    lead = np.flatnonzero(kinds == _LEAD)
+    lead = lead[lead + 1 < len(data)]
+    a, b = data[lead], data[lead + 1]
+    c = data[np.minimum(lead + 2, len(data) - 1)]
+    odd = (a == 0xC2) & ((b == 0x85) | (b == 0xA0))
+    odd |= (a == 0xE1) & ((b == 0x9A) & (c == 0x80) | (b == 0xA0) & (c == 0x8E))
+    odd |= (a == 0xE2) & ((b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF)) | (b == 0x81) & (c == 0x9F))
+    odd |= (a == 0xE3) & (b == 0x80) & (c == 0x80)
+    return np.concatenate([np.flatnonzero(kinds == _ODD), lead[odd]])
+
+
+def unit_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """First bytes of the units of texts that lie one behind the other; `offsets` has one more entry than texts."""
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.int64)
+    kinds = _KINDS[data]
+    blank = kinds == _BLANK
+    spaced = np.zeros(n, bool)
+    spaced[1:] = blank[1:] & ~blank[:-1]
+    letter = kinds == _LETTER
+    mark = kinds == _MARK
+    behind = letter.copy()  # a letter of Latin-1 ends here too
+    behind[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] < 0xC0) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    cut = spaced.copy()
+    cut[1:] |= mark[1:] & behind[:-1]
+    cut[1:] |= letter[1:] & mark[:-1]
+    special = np.flatnonzero((data[:-1] == 0x3C) & (data[1:] == 0x7C))
+    for places, left in ((special, spaced), (odd_spaces(data, kinds), None)):
+        for k in np.unique(np.searchsorted(offsets, places, "right") - 1).tolist():
+            a, b = offsets[k], offsets[k + 1]
+            cut[a:b] = False if left is None else left[a:b]
+    cut[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+    return np.flatnonzero(cut)
+
+
+def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 of a string column and where each row starts, one more entry than rows; null is empty."""
+    filled = column.cast(pa.large_binary()).fill_null(b"")
+    if not len(filled):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    _, places, data = filled.buffers()
+    offsets = np.frombuffer(places, np.int64)[filled.offset : filled.offset + len(filled) + 1]
+    content = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return content[offsets[0] : offsets[-1]], offsets - offsets[0]
 
-    Latin-1 text is lower-cased here, which is the same character by character and makes units fewer; text that may
-    hold a special token is left as it is.
-    """
-    if "<|" not in text:
-        try:
-            text.encode("latin-1")
-            text = text.lower()
-        except UnicodeEncodeError:
-            pass
-    return text.replace("\n", " ").split(" ")
+
+def ragged(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches [start, start + size) of an array, one behind the other."""
+    ends = np.cumsum(sizes)
+    return flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 class UnitCache:
-    """unit -> value, bounded: two generations of up to `limit` units; what the older one still serves moves on.
+    """Ids of units in one array, bounded in bytes: two generations of half the bound; what the older one still serves moves on.
 
-    A unit that is a plain word and a run of ASCII punctuation is the sum of the two, as no pre-token holds both;
-    so a word is encoded once, whatever punctuation follows it.
+    `encode` gets distinct units as bytes and gives all their ids and their numbers of ids. A unit of over `longest`
+    bytes is not found again.
     """
 
-    def __init__(self, encode: Callable[[Sequence[str]], Sequence], limit: int = 800_000, longest: int = 256, split: bool = True):
-        self.encode, self.limit, self.longest, self.split, self.known, self.older = encode, limit, longest, split, {}, {}
-
-    def values(self, units: list[str]) -> list:
-        if len(self.known) > self.limit:
-            self.known, self.older = {}, self.known
-        missing = set(units).difference(self.known)
-        if missing:
-            long = self._fill(missing)
-            if long:
-                return [long[u] if u in long else self.known[u] for u in units]
-        return list(map(self.known.__getitem__, units))
-
-    def _fill(self, units: set[str]) -> dict:
-        """Make the units known; returns those too long to keep."""
-        known, older, parts, unknown = self.known, self.older, [], []
-        for u in units:
-            v = older.get(u)
-            if v is not None:
-                known[u] = v
-                continue
-            m = _WORD_AND_TAIL.fullmatch(u) if self.split else None
-            if m is None:
-                unknown.append(u)
-                continue
-            parts.append((u, m[1], m[2]))
-            for half in m.groups():
-                if half not in known and half not in units:
-                    v = older.get(half)
-                    if v is None:
-                        unknown.append(half)
-                    else:
-                        known[half] = v
-        unknown = list(dict.fromkeys(unknown))
-        new = dict(zip(unknown, self.encode(unknown), strict=True))
-        long = {u: v for u, v in new.items() if len(u) > self.longest}
-        known.update(new)
-        for u, a, b in parts:
-            known[u] = self.join(known[a], known[b])
-            if len(u) > self.longest:
-                long[u] = known[u]
-        for u in long:
-            del known[u]
-        return long
-
-    @staticmethod
-    def join(a, b):
-        return a + b
+    #: bytes of an entry besides its key's and its ids'
+    ENTRY = 190
+
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], dtype: str, most_bytes: int = 64 << 20, longest: int = 128):
+        self.encode, self.dtype, self.half, self.longest = encode, np.dtype(dtype), most_bytes // 2, longest
+        self.older: tuple = ({}, None, None, None)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.flat, self.starts, self.sizes = np.zeros(1 << 12, self.dtype), np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int32)
+        self.held = self.n_ids = self.n = 0
+
+    def _append(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Slots of units whose ids are put behind the others'."""
+        for name, used, more in (("flat", self.n_ids, len(ids)), ("starts", self.n, len(sizes)), ("sizes", self.n, len(sizes))):
+            old = getattr(self, name)
+            if used + more > len(old):
+                new = np.zeros(max(2 * len(old), used + more), old.dtype)
+                new[:used] = old[:used]
+                setattr(self, name, new)
+        slots = np.arange(self.n, self.n + len(sizes))
+        self.flat[self.n_ids : self.n_ids + len(ids)] = ids
+        self.sizes[slots] = sizes
+        self.starts[slots] = self.n_ids + np.cumsum(sizes) - sizes
+        self.n_ids += len(ids)
+        self.n += len(sizes)
+        return slots
+
+    def slots(self, units: list[bytes]) -> np.ndarray:
+        """Where each of the distinct units has its ids in `flat`, by `starts` and `sizes`, until the next call."""
+        if self.held > self.half:
+            self.older = (self.known, self.flat, self.starts, self.sizes)
+            self._clear()
+        at = np.fromiter(map(self.known.get, units, repeat(-1)), np.int64, len(units))
+        missing = np.flatnonzero(at < 0)
+        if not len(missing):
+            return at
+        wanted = [units[i] for i in missing.tolist()]
+        known, flat, starts, sizes = self.older
+        found = np.fromiter(map(known.get, wanted, repeat(-1)), np.int64, len(wanted))
+        new = np.flatnonzero(found < 0)
+        old = np.flatnonzero(found >= 0)
+        before, own = self.n_ids, np.empty(len(wanted), np.int64)
+        if len(old):
+            own[old] = self._append(ragged(flat, starts[found[old]], sizes[found[old]]), sizes[found[old]])
+        if len(new):
+            own[new] = self._append(*self.encode([wanted[i] for i in new.tolist()]))
+        at[missing] = own
+        lengths = list(map(len, wanted))
+        if max(lengths) <= self.longest:
+            self.known.update(zip(wanted, own.tolist(), strict=True))
+        else:
+            self.known.update((u, k) for u, k in zip(wanted, own.tolist(), strict=True) if len(u) <= self.longest)
+        self.held += self.ENTRY * len(wanted) + sum(lengths) + (self.n_ids - before) * self.dtype.itemsize
+        return at
+
+
+class TextEncoder:
+    """Ids of whole texts, a slice of a batch at a time. Without `cut` each text is one unit."""
+
+    def __init__(self, cache: UnitCache, cut: bool = True, slice_bytes: int = 1 << 22):
+        self.cache, self.dtype, self.cut, self.slice_bytes = cache, cache.dtype, cut, slice_bytes
+
+    def encode(self, column: pa.Array, end_id: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first row, ids, where each row's ids start and the last one's end) of slices of the column; each row ends in `end_id`."""
+        data, offsets = column_bytes(column)
+        end = np.zeros(0, self.dtype) if end_id is None else np.array([end_id], self.dtype)
+        for lo, hi in by_bytes(np.diff(offsets).tolist(), self.slice_bytes):
+            own, at = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+            starts = unit_starts(own, at) if self.cut else at[:-1][at[:-1] < at[1:]]
+            places = np.append(starts, len(own)).astype(np.int32)
+            units = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(own)]).dictionary_encode()
+            slots = self.cache.slots(units.dictionary.to_numpy(zero_copy_only=False).tolist())
+            first, sizes, flat = self.cache.starts[slots], self.cache.sizes[slots].astype(np.int64), self.cache.flat[: self.cache.n_ids]
+            which, ends = units.indices.to_numpy(), np.searchsorted(starts, at[1:])
+            if end_id is not None:
+                flat, first, sizes = np.append(flat, end), np.append(first, len(flat)), np.append(sizes, 1)
+                which = np.insert(which, ends, len(slots))
+                ends = ends + np.arange(1, len(ends) + 1)
+            n = sizes[which]
+            upto = np.concatenate([[0], np.cumsum(n)])
+            yield lo, ragged(flat, first[which], n), upto[np.concatenate([[0], ends])]
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -119,8 +190,25 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def library_encoder(path: str) -> Callable[[Sequence[str]], list[bytes]]:
-    """Ids of each unit by the tokenizers library, packed as little-endian unsigned 16- or 32-bit integers.
+def plain_words(units: list[bytes], lowered: bool) -> np.ndarray:
+    """Which units are letters of the ASCII, Latin-1 and extended Latin blocks (with a blank before them) and so one pre-token.
+
+    Dotted capital I is no such letter where text is lower-cased, as its lower case ends in a mark."""
+    data = np.frombuffer(b"".join(units), np.uint8)
+    ends = np.cumsum(list(map(len, units)))
+    starts = np.concatenate([[0], ends[:-1]])
+    lead = (data >= 0xC3) & (data <= 0xC9)
+    good = (_KINDS[data] == _LETTER) | lead
+    good[1:] |= lead[:-1] & (data[1:] >= 0x80) & (data[1:] < 0xC0) & ~((data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7)))
+    if lowered:
+        good[1:] &= ~((data[:-1] == 0xC4) & (data[1:] == 0xB0))
+    bad = np.concatenate([[0], np.cumsum(~good)])
+    head = (data[starts] == 32) | lowered & (data[starts] == 10)
+    return (bad[ends] == bad[starts + head]) & (ends - starts > head)
+
+
+def library_encoder(path: str, dtype: str) -> tuple[Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], bool]:
+    """Ids of units by the tokenizers library with their numbers, and whether texts may be cut into units for it.
 
     A plain word is one pre-token of a byte-level tokenizer, so it goes to the library's model at once (lower-cased
     if the tokenizer lower-cases); any other unit goes through the library's whole chain.
@@ -131,39 +219,40 @@ def library_encoder(path: str) -> Callable[[Sequence[str]], list[bytes]]:
     t = Tokenizer.from_file(path)
     t.no_truncation()
     t.no_padding()
-    code = id_code(t.get_vocab_size(with_added_tokens=True))
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     kinds = [k["type"] for k in (spec.get("normalizer") or {}).get("normalizers", [])]
     pre = spec.get("pre_tokenizer") or {}
-    byte_level = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and spec.get("normalizer") is None
+    byte_level = pre.get("type") == "ByteLevel" and bool(pre.get("use_regex")) and not pre.get("add_prefix_space") and spec.get("normalizer") is None
     lowered = kinds == ["NFC", "Replace", "Lowercase"] and [p["type"] for p in pre.get("pretokenizers", [])] == ["Split", "ByteLevel"]
-    tokenize = t.model.tokenize
-    word, table = (_WORD if byte_level else _BARE_WORD if lowered else None), {b: c for c, b in byte_alphabet().items()}
-
-    def encode(units: Sequence[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(units)
-        rest = []
-        for i, u in enumerate(units):
-            if word is not None and word.fullmatch(u):
-                if lowered:
-                    u = u.lower()
-                if not u.isascii():
-                    u = u.encode().decode("latin-1").translate(table)
-                elif u[0] == " ":
-                    u = "\u0120" + u[1:]
-                out[i] = array(code, [x.id for x in tokenize(u)]).tobytes()
-            else:
-                rest.append(i)
-        for i, e in zip(rest, t.encode_batch_fast([units[i] for i in rest], add_special_tokens=False), strict=True):
-            out[i] = array(code, e.ids).tobytes()
-        return out
-
-    return encode
-
-
-def id_code(vocab: int) -> str:
-    return "H" if vocab <= 1 << 16 else "I"
+    tokenize, stand_in = t.model.tokenize, {b: c for c, b in byte_alphabet().items() if b}
+
+    def encode(units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        out: list[list[int] | None] = [None] * len(units)
+        plain = plain_words(units, lowered) if byte_level or lowered else np.zeros(len(units), bool)
+        if plain.any():
+            words = b"\0".join([units[i] for i in np.flatnonzero(plain).tolist()])
+            if lowered:  # white space is dropped
+                words = words.translate(None, b" \n").decode().lower().encode()
+            words = words.decode("latin-1").translate(stand_in).split("\0")
+            for i, w in zip(np.flatnonzero(plain).tolist(), words, strict=True):
+                out[i] = [x.id for x in tokenize(w)]
+        rest = np.flatnonzero(~plain).tolist()
+        if rest:
+            for i, e in zip(rest, t.encode_batch_fast([units[i].decode("utf-8", "replace") for i in rest], add_special_tokens=False), strict=True):
+                out[i] = e.ids
+        return np.fromiter(chain.from_iterable(out), dtype), np.array(list(map(len, out)), np.int64)
+
+    return encode, byte_level or lowered
+
+
+def library_text_encoder(path: str, least_vocab: int = 0) -> TextEncoder:
+    """Whole-text ids by the tokenizers library, as 16-bit integers where the vocabulary (or `least_vocab`) allows."""
+    from tokenizers import Tokenizer
+
+    dtype = id_dtype(max(least_vocab, Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True)))
+    encode, cut = library_encoder(path, dtype)
+    return TextEncoder(UnitCache(encode, dtype), cut)
 
 
 def id_dtype(vocab: int) -> str:
