@@ -22,9 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, stash, strings, tokenizer_path
+from .common import map_batches, ship, stash, tokenizer_path
 from .packing import END_ID, document_encoder
-from .token_units import spaced_units
 
 SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 HEADER = struct.Struct("<4sHHIIIQQ")
@@ -60,14 +59,17 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocab: int, rounds: int | None =
         pairs = frequent_pairs(keys[inside], least, min(per_round, (1 << width) - symbol))
         if not len(pairs):
             break
-        # a table by hash finds a chosen pair in one step; of pairs that share a cell the more frequent stays
+        # a table by hash finds a chosen pair in one step; of pairs that share a cell it has the most frequent, and the few others are looked for one by one
         slot = lambda k: (k * wide(0x9E3779B1) >> wide(32 - table_bits if width == 16 else 40 - table_bits)) & wide((1 << table_bits) - 1)
         cells, first = np.unique(slot(pairs), return_index=True)
-        pairs = pairs[np.sort(first)]
         table = np.zeros(1 << table_bits, np.int32)
-        table[slot(pairs)] = np.arange(len(pairs), dtype=np.int32)
+        table[cells] = first
         which = table[slot(keys)]
         hits = pairs[which] == keys
+        for other in np.setdiff1d(np.arange(len(pairs)), first):
+            found = keys == pairs[other]
+            which[found] = other
+            hits |= found
         hits &= inside
         hits = np.flatnonzero(hits)
         # of hits in a row, every other one is replaced, from the left
@@ -187,7 +189,7 @@ def write_ids(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_I
     def run(batches):
         from tokenizers import Tokenizer
 
-        encoder = document_encoder(path, spaced_units, end_id)
+        encoder = document_encoder(path, end_id)
         vocab = max(end_id + 1, Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True))
         part, first, held, ids, parts = TaskContext.get().partitionId(), 0, 0, [], []
 
@@ -199,17 +201,17 @@ def write_ids(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_I
             return row
 
         for batch in batches:
-            for doc_id, packed in zip(batch.column("doc_id").to_pylist(), encoder.encode(strings(batch, "text")), strict=True):
-                ids.append(doc_id)
-                parts.append(np.frombuffer(packed, encoder.dtype))
-                held += len(parts[-1])
-                if held >= shard_ids:
-                    yield flush()
+            doc_ids = batch.column("doc_id").to_pylist()
+            for k, own, at in encoder.encode(batch.column("text"), end_id):
+                for doc_id, a, b in zip(doc_ids[k:], at[:-1].tolist(), at[1:].tolist(), strict=False):
+                    ids.append(doc_id)
+                    parts.append(own[a:b])
+                    held += b - a
+                    if held >= shard_ids:
+                        yield flush()
         if ids:
             yield flush()
 
-    from .common import ship
-
     ship(docs.sparkSession)
     return stash(ordered.mapInArrow(run, "part long, first_id long, n_ids long, payload binary"), "shards")
 
