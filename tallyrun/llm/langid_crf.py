@@ -8,16 +8,16 @@ A text's words are labelled by forward-backward; its language is the one with mo
 
 from __future__ import annotations
 
+import hashlib
 import pickle
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_bytes, crc_mod, crc_of_id, map_batches, strings
+from .common import by_bytes, crc_mod, crc_of_id, held, map_batches, strings
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 #: ASCII that is no letter separates words
@@ -31,6 +31,8 @@ class Training:
 
     docs_per_lang: int = 300
     longest_doc: int = 200_000
+    #: characters of all texts that come to the driver, in equal shares of the languages
+    most_chars: int = 32_000_000
     words_per_lang: int = 24_000
     sequence: int = 64
     switch_words: int = 16
@@ -261,18 +263,22 @@ def expectations(emit: np.ndarray, sizes: np.ndarray, trans: np.ndarray, start:
 
 
 class Labeller:
-    """Labels texts; remembers the emissions of words it has met, up to a bound."""
+    """Labels texts; remembers the emissions of words it has met, up to a bound in bytes, which is looked at before each batch."""
 
-    def __init__(self, model: CRF, limit: int = 400_000):
-        self.model, self.limit = model, limit
+    #: bytes of a word held besides its own and its emissions'
+    ENTRY = 170
+
+    def __init__(self, model: CRF, most_bytes: int = 48 << 20):
+        self.model, self.most_bytes = model, most_bytes
         self._clear()
 
     def _clear(self):
         self.known: dict[bytes, int] = {}
         self.table = np.zeros((1 << 14, len(self.model.langs)), np.float32)
+        self.held = 0
 
     def emissions(self, words: list[bytes]) -> np.ndarray:
-        if len(self.known) > self.limit:
+        if self.held > self.most_bytes:
             self._clear()
         at = list(map(self.known.get, words))
         if None in at:
@@ -283,6 +289,7 @@ class Labeller:
             for k in range(0, len(new), 1 << 15):
                 self.table[base + k : base + k + (1 << 15)][: len(new) - k] = self.model.emissions(new[k : k + (1 << 15)])
             self.known.update(zip(new, range(base, base + len(new)), strict=True))
+            self.held += sum(map(len, new)) + len(new) * (self.ENTRY + 4 * self.table.shape[1])
             at = list(map(self.known.get, words))
         return self.table[np.array(at, np.int64)]
 
@@ -293,7 +300,7 @@ class Labeller:
     def judge(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
         """Each text's language, its share, and the mean over words of the posterior of a word's own best language."""
         out: list[tuple[str, float, float]] = [(UNDETERMINED, 0.0, 0.0)] * len(texts)
-        for lo, hi in by_bytes([len(t or "") for t in texts], 1 << 20):
+        for lo, hi in by_bytes([len(t.encode("utf-8", "replace")) if t else 0 for t in texts], 1 << 20):
             which, words = [], []
             for i in range(lo, hi):
                 if has_letter(texts[i]) and (w := words_of(texts[i])):
@@ -328,7 +335,8 @@ def draw_bound(wanted: int, n: int) -> int:
 def training_sample(docs: DataFrame, how: Training, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
     """Up to about `docs_per_lang` labelled documents of each language, chosen by a hash of the id, never more than twice as many in all.
 
-    Only rows that can be drawn (with a text of up to `longest_doc` characters) count."""
+    Only rows that can be drawn (with a text of up to `longest_doc` characters) count. Of what is drawn for a language as many
+    whole texts as `most_chars` allows each of them come to the driver, one at least."""
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang")).filter("lang is not null")
     rows = rows.filter(F.length("text") <= how.longest_doc)
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row for each language
@@ -337,24 +345,24 @@ def training_sample(docs: DataFrame, how: Training, id_col: str, text_col: str,
     draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("langid")), 1)
     bound = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, draw_bound(how.docs_per_lang, n))])
     chosen = rows.withColumn("draw", draw).filter(F.col("draw") <= bound[F.col("lang")])
-    found = chosen.orderBy("draw", "doc_id", "text").limit(2 * how.docs_per_lang * len(sizes)).collect()
+    drawn = chosen.orderBy("draw", "doc_id", "text").limit(2 * how.docs_per_lang * len(sizes)).withColumn("n", F.length("text"))
+    before = Window.partitionBy("lang").orderBy("draw", "doc_id", "text")
+    shared = drawn.withColumn("sofar", F.sum("n").over(before)).withColumn("place", F.row_number().over(before))
+    found = shared.filter((F.col("sofar") <= how.most_chars // len(sizes)) | (F.col("place") == 1)).orderBy("draw", "doc_id", "text").collect()
     return [(r.lang, r.text) for r in found]
 
 
-_LABELLERS: dict[int, Labeller] = {}
-
-
 def _labeller(packed: bytes) -> Labeller | None:
     """One labeller for each worker process and model, kept from task to task."""
-    key = zlib.crc32(packed)
-    if key not in _LABELLERS:
-        _LABELLERS.clear()
+
+    def make():
         model = pickle.loads(packed)
-        _LABELLERS[key] = Labeller(model) if model else None
-    return _LABELLERS[key]
+        return Labeller(model) if model else None
+
+    return held(("crf", hashlib.sha256(packed).digest()), make)
 
 
-def predict(docs: DataFrame, model: CRF | None, folds: int = 4, held: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: CRF | None, folds: int = 4, held_out: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     packed = pickle.dumps(model)
 
     def make():
@@ -363,7 +371,7 @@ def predict(docs: DataFrame, model: CRF | None, folds: int = 4, held: int = 2, i
         def work(batch):
             texts = strings(batch, "text")
             found = labeller.label(texts) if labeller else [(UNDETERMINED, 0.0)] * len(texts)
-            out = [crc_mod(i, folds) == held if i is not None else None for i in batch.column("doc_id").to_pylist()]
+            out = [crc_mod(i, folds) == held_out if i is not None else None for i in batch.column("doc_id").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.bool_()), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
         return work
@@ -374,7 +382,9 @@ def predict(docs: DataFrame, model: CRF | None, folds: int = 4, held: int = 2, i
 def keep_identified(docs: DataFrame, model: CRF | None, least: float = 0.4, text_col: str = "text") -> DataFrame:
     """The rows, all columns unchanged, whose text is identified: its words' best posteriors have a mean of at least `least`.
 
-    How many languages a text switches between does not matter."""
+    How many languages a text switches between does not matter. Null, empty and letterless texts go, as do all without a
+    model. Repeated rows each get their verdict, an empty table stays empty, and a text is read whole, in memory of
+    some 100 bytes a word. Other columns may have any name."""
     packed = pickle.dumps(model)
 
     def make():
@@ -389,16 +399,21 @@ def keep_identified(docs: DataFrame, model: CRF | None, least: float = 0.4, text
     return map_batches(docs, make, docs.schema)
 
 
-def train(docs: DataFrame, folds: int = 4, held: int = 2, how: Training | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> CRF | None:
+def train(docs: DataFrame, folds: int = 4, held_out: int = 2, how: Training | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> CRF | None:
+    """A model from the labelled rows outside the held-out fold; None if these have no word.
+
+    Rows with a null id, text or language are not learned from, nor are texts over `longest_doc`. Repeated rows
+    count each, and ties of the draw are taken in order of id and text.
+    """
     how = how or Training()
-    return fit_crf(training_sample(docs.filter(crc_of_id(id_col) % folds != held), how, id_col, text_col, lang_col), how)
+    return fit_crf(training_sample(docs.filter(crc_of_id(id_col) % folds != held_out), how, id_col, text_col, lang_col), how)
 
 
-def identify(docs: DataFrame, folds: int = 4, held: int = 2, how: Training | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def identify(docs: DataFrame, folds: int = 4, held_out: int = 2, how: Training | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Language of every document, learned from labelled documents outside the held-out fold.
 
     A null text and one without a letter get `und` and score 0, as do all texts if nothing is labelled.
     Rows with a null id are labelled but not learned from; their held_out is null. Repeated rows each give a row.
-    Only the id, text and language columns are read.
+    Only the id, text and language columns are read. An empty table gives no rows; a text is read whole.
     """
-    return predict(docs, train(docs, folds, held, how, id_col, text_col, lang_col), folds, held, id_col, text_col)
+    return predict(docs, train(docs, folds, held_out, how, id_col, text_col, lang_col), folds, held_out, id_col, text_col)
