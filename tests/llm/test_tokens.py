@@ -5,20 +5,22 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tallyrun.llm.bpe import BacktrackingBPE, encode_decode
-from tallyrun.llm.common import tokenizer_path
+from tallyrun.llm.common import held, tokenizer_path
 from tallyrun.llm.packing import binary_lengths, pack
 from tallyrun.llm.repair_output import Shard, read_ids, write_ids, write_shard
 from tallyrun.llm.token_counts import PieceCounter, count_tokens, safe_parts
-from tallyrun.llm.token_units import UnitCache, byte_level_units, library_encoder, spaced_units
+from tallyrun.llm.token_units import TextEncoder, UnitCache, library_encoder, library_text_encoder, unit_starts
 
 from .conftest import EDGE_TEXTS
 
-ALPHABET = st.lists(st.sampled_from([" ", "  ", "\n", "a", "e", "th", "ing", " the", "é", "ß", "1", "'s", "'", ".", ",", "!!", "***", "\t", "　", "日", "🙂", "́", "▁", "<|endoftext|>", "aaaa"]), max_size=30).map("".join)
+#: characters whose lower case has another length or is no letter, separators, marks that compose, and what cuts or must not
+ALPHABET = st.lists(st.sampled_from(["İ", "İ.", "ŉ", "ǰ", "ẞ", "Σ", "ΑΣ", "K", "H\u0331", "<\u0338", "=\u0338", "\u0307", "\xa0", "\u2003", "\u180e", "\x1c", "\x85", "\u2028", "\0", "Ġ", "×", "÷", "A.", "a,b", "é!", "»a", "<|", "|>", "(a", "-", "\r\n", "2.5", "'ll", "O'", " ", "  ", "\n", "a", "e", "th", "ing", " the", "é", "ß", "1", "'s", "'", ".", ",", "!!", "***", "\t", "　", "日", "🙂", "́", "▁", "<|endoftext|>", "aaaa"]), max_size=30).map("".join)
 
 
 @pytest.fixture(scope="module")
@@ -33,12 +35,17 @@ def library(name):
     return lambda x: t.encode(x or "", add_special_tokens=False).ids
 
 
-@settings(max_examples=300, deadline=None)
-@given(text=ALPHABET)
-def test_backtracking_is_exact(bpe, text):
-    want = bpe.library.encode(text, add_special_tokens=False).ids
-    assert [i for u in byte_level_units(text) for i in bpe.encode(u)] == want
-    assert bpe.decode(np.array(want, np.int64)).decode("utf-8", "replace") == bpe.library.decode(want, skip_special_tokens=False)
+@settings(max_examples=500, deadline=None)
+@given(texts=st.lists(ALPHABET, max_size=4))
+def test_backtracking_is_exact(bpe, texts):
+    want = [bpe.library.encode(t, add_special_tokens=False).ids for t in texts]
+    for _, ids, at in bpe.units.encode(pa.array(texts, pa.string())):
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == want
+        decoded, where = bpe.decode(ids, at)
+        back = [decoded[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(where, where[1:], strict=False)]
+        assert back == [bpe.library.decode(w, skip_special_tokens=False) for w in want]
+        text, where = bpe.decimals(ids, at)
+        assert [text[a:b].tobytes().decode() for a, b in zip(where, where[1:], strict=False)] == [",".join(map(str, w)) for w in want]
 
 
 def test_pair_table_agrees_with_merging(bpe):
@@ -60,23 +67,62 @@ def test_pair_table_agrees_with_merging(bpe):
         assert bpe.pair_ok(a, b) == (merge(a + b) == [a, b])
 
 
-@pytest.mark.parametrize("name, units", [("byte_bpe_50k.json", byte_level_units), ("word_bpe_49k.json", spaced_units)])
-def test_units_add_up(name, units):
-    encode, cache = library(name), UnitCache(library_encoder(tokenizer_path(name)), limit=40)
-
-    @settings(max_examples=200, deadline=None)
-    @given(text=ALPHABET)
-    def check(text):
-        assert np.frombuffer(b"".join(cache.values(units(text))), "<u2").tolist() == encode(text)
-
-    check()
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_units_add_up(name):
+    """Also where the cache turns over all the time and slices end within a batch."""
+    encode = library(name)
+    units, cut = library_encoder(tokenizer_path(name), "<u2")
+    assert cut
+    small = TextEncoder(UnitCache(units, "<u2", most_bytes=2000, longest=6), slice_bytes=20)
+    for encoder in (small, library_text_encoder(tokenizer_path(name))):
+
+        @settings(max_examples=400, deadline=None)
+        @given(texts=st.lists(ALPHABET, max_size=6))
+        def check(texts):
+            for end in (None, 1):
+                got = [ids[a:b].tolist() for _, ids, at in encoder.encode(pa.array([None, *texts], pa.string()), end) for a, b in zip(at, at[1:], strict=False)]
+                assert got == [encode(t) + [1] * (end is not None) for t in ["", *texts]]
+
+        check()
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_every_character_beside_every_kind(name):
+    """Each character of the first planes that may change in lower-casing or be white space, at the edges of units."""
+    encode, encoder = library(name), library_text_encoder(tokenizer_path(name))
+    odd = [chr(c) for c in range(0x3100) if len(chr(c).lower()) != 1 or not chr(c).lower().isalpha() and chr(c).isalpha() or chr(c).isspace() or c < 0x250]
+    texts = [f"Ab{c}. {c}a {c} x{c}{c}y!{c}'s ({c}){c}" for c in odd] + ["ANKARALİ. evet"]
+    got = [ids[a:b].tolist() for _, ids, at in encoder.encode(pa.array(texts, pa.string())) for a, b in zip(at, at[1:], strict=False)]
+    assert got == [encode(t) for t in texts]
+
+
+def test_cache_is_bounded_in_bytes():
+    """Long units and many of them: what is held stays near the bound, and one operator's state goes when another's task comes."""
+    cache = UnitCache(lambda units: (np.zeros(sum(map(len, units)), np.uint16), np.array(list(map(len, units)))), "<u2", most_bytes=1 << 20, longest=128)
+    for k in range(60):
+        units = [b"%d-%d" % (k, i) + b"x" * 100 for i in range(500)] + [b"y" * 50_000 + b"%d" % k]
+        slots = cache.slots(units)
+        assert cache.sizes[slots].tolist() == list(map(len, units))
+        held_now = sum(len(u) + UnitCache.ENTRY for g in (cache.known, cache.older[0]) for u in g) + 2 * cache.n_ids
+        assert held_now < (1 << 20) + 2 * (500 * 600 + 150_000)
+        assert not any(len(u) > 128 for u in cache.known)
+    a = held(("test", 1), lambda: [1])
+    assert held(("test", 1), lambda: [2]) is a
+    held(("test", 2), lambda: [3])
+    assert held(("test", 1), lambda: [4]) == [4]
+
+
+def test_cuts():
+    data = np.frombuffer("ab cd,e\n\nf é. <|x|> a\u3000b".encode(), np.uint8)
+    assert unit_starts(data, np.array([0, 13, len(data)])).tolist()[:7] == [0, 2, 5, 6, 7, 10, 13]
 
 
 @settings(max_examples=200, deadline=None)
 @given(text=ALPHABET, longest=st.integers(1, 12))
 def test_parts_count_as_the_whole(text, longest):
     model = _counter().model
-    assert sum(len(model.encode(p)) for p in safe_parts(text, longest)) == len(model.encode(text))
+    parts = safe_parts(text.encode(), longest)
+    assert sum(len(model.encode(p)) for p in parts) == len(model.encode(text)) and b" ".join(parts) == text.encode()
 
 
 _COUNTERS = []
@@ -109,6 +155,37 @@ def test_count_tokens(make_docs):
         assert (got[i].n_bytes, got[i].n_tokens, got[i].over_limit) == (len((text or "").encode()), n, n > 100)
 
 
+def test_batches_by_bytes_and_models_that_cannot_be_split():
+    counter = PieceCounter(tokenizer_path("piece_bpe_32k.model"), part_bytes=50, batch_bytes=200)
+    assert counter.splits
+    texts = [t.encode() for t in EDGE_TEXTS if t] + [b"", "日本 ".encode() * 400]
+    want = [len(counter.model.encode(t.decode())) for t in texts]
+    assert counter.counts(texts).tolist() == want
+    sent, encode = [], counter.model.encode
+
+    class Model:
+        def encode(self, parts, **how):
+            sent.append(list(parts))
+            return encode(parts, **how)
+
+    counter.model = Model()
+    assert counter.counts(texts).tolist() == want
+    assert all(sum(map(len, p)) <= 200 or len(p) == 1 for p in sent) and sum(map(len, sent)) > len(texts)
+    counter.splits = False
+    sent.clear()
+    assert counter.counts(texts).tolist() == want and sum(map(len, sent)) == len(texts)
+
+
+def test_splitting_needs_marks_at_the_front(monkeypatch):
+    """A model with a mark inside a piece, or without one before a text, counts whole texts."""
+    import sentencepiece
+
+    for pieces, shown in ((["a", "b\u2581c"], ["\u2581a", "\u2581", "\u2581b"]), (["a"], ["a", "\u2581", "\u2581b"]), (["a"], ["\u2581a", "\u2581b"])):
+        fake = type("Fake", (), {"__init__": lambda self, model_file: None, "get_piece_size": lambda self, p=pieces: len(p), "id_to_piece": lambda self, i, p=pieces: p[i], "encode": lambda self, t, s=shown, **how: s})
+        monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", fake)
+        assert not PieceCounter("x").splits
+
+
 def test_binary_lengths():
     for n in [1, 2, 3, 2047, 2048, 2049, 4097, 10_000]:
         parts = binary_lengths(n, 2048)
