@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -15,9 +15,23 @@ SYMBOLS = b"#*$%&|<>"
 SEPARATORS = frozenset([b"|", b">", b"\xc2\xbb", b"\xc2\xb7", b"\xe2\x80\xa2", b"/", b"::"])
 SPACES = b" \t\n\r\x0b\x0c"
 CLOSERS = (".", "!", "?", "…", ":", ";", '"', "”", "’", "»", ")", "。", "！", "？", ".'")
-BOILERPLATE = re.compile(
-    rb"lorem ipsum|enable javascript|javascript is (?:disabled|required)|accept (?:all )?cookies|uses cookies|cookie policy|privacy policy|terms of (?:use|service)|sign up for our newsletter|click here to|skip to (?:main )?content",
-    re.I,
+#: fixed phrases of sites, in lower case
+BOILERPLATE = (
+    b"lorem ipsum",
+    b"enable javascript",
+    b"javascript is disabled",
+    b"javascript is required",
+    b"accept cookies",
+    b"accept all cookies",
+    b"uses cookies",
+    b"cookie policy",
+    b"privacy policy",
+    b"terms of use",
+    b"terms of service",
+    b"sign up for our newsletter",
+    b"click here to",
+    b"skip to content",
+    b"skip to main content",
 )
 
 
@@ -44,6 +58,15 @@ def repeat_words(words: list[bytes], width: int = 8) -> int:
     n = len(words) - width + 1
     if n < 2:
         return 0
+    if n > 64:  # equal windows have equal rolling hashes, so without a second one there is nothing to confirm
+        own = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
+        rolled = own[:n].copy()
+        for k in range(1, width):
+            rolled *= np.uint64(0x9E3779B97F4A7C15)
+            rolled += own[k : n + k]
+        rolled.sort()
+        if (rolled[1:] != rolled[:-1]).all():
+            return 0
     windows = list(zip(*(words[k : n + k] for k in range(width)), strict=True))
     if len(set(windows)) == n:
         return 0
@@ -61,12 +84,18 @@ def repeat_words(words: list[bytes], width: int = 8) -> int:
     return covered
 
 
-def line_fails(line: bytes, words: list[bytes], rules: LineRules) -> bool:
+def has_phrase(text: bytes) -> bool:
+    low = text.lower()
+    return any(p in low for p in BOILERPLATE)
+
+
+def line_fails(line: bytes, words: list[bytes], rules: LineRules, phrases: bool = True) -> bool:
+    """Without `phrases` the text that the line is of is known to hold no fixed phrase."""
     n = len(words)
     marks = len(line) - len(line.translate(None, SYMBOLS))
     if marks and marks >= rules.symbol_share * n:
         return True
-    if n >= 3 and sum(w in SEPARATORS for w in words) >= rules.separator_share * n:
+    if n >= 3 and not SEPARATORS.isdisjoint(words) and sum(w in SEPARATORS for w in words) >= rules.separator_share * n:
         return True
     text = line.decode("utf-8", "replace")
     if n >= rules.shout_words:
@@ -77,7 +106,7 @@ def line_fails(line: bytes, words: list[bytes], rules: LineRules) -> bool:
                 return True
     if n >= rules.same_word_words and sum(map(bytes.__eq__, words, words[1:])) > rules.same_word_share * (n - 1):
         return True
-    if BOILERPLATE.search(line):
+    if phrases and has_phrase(line):
         return True
     return n < rules.open_line_words and not text.rstrip().endswith(CLOSERS)
 
@@ -88,7 +117,7 @@ def judge(raw: bytes, rules: LineRules) -> tuple:
     # code points in words: all bytes but white space and UTF-8 continuation bytes
     word_chars = len(raw.decode("utf-8", "replace")) - (len(raw) - len(raw.translate(None, SPACES)))
     n_symbols = len(raw) - len(raw.translate(None, SYMBOLS))
-    repeats = repeat_words(words)
+    repeats, phrases = repeat_words(words), has_phrase(raw)
     seen: set[bytes] = set()
     dup = lines = removed = lost = total = 0
     keep = []
@@ -103,7 +132,7 @@ def judge(raw: bytes, rules: LineRules) -> tuple:
         if line in seen:
             dup += 1
         seen.add(line)
-        if line_fails(line, own, rules):
+        if line_fails(line, own, rules, phrases):
             removed += 1
             lost += size
         else:
@@ -118,7 +147,8 @@ def clean_lines(docs: DataFrame, rules: LineRules | None = None, id_col: str = "
 
     Words are runs without ASCII white space. A null or blank text has no words: all counts are 0,
     it fails the base test and is not kept. Repeated rows each give a row; only the id and
-    the text column are read, so other columns may have any name.
+    the text column are read, so other columns may have any name. An empty table gives no rows. A text is judged
+    whole, in memory of some 100 bytes a word.
     """
     rules = rules or LineRules()
 
@@ -136,12 +166,21 @@ def clean_lines(docs: DataFrame, rules: LineRules | None = None, id_col: str = "
 
 
 def keep_clean(docs: DataFrame, rules: LineRules | None = None, text_col: str = "text") -> DataFrame:
-    """The rows, all columns unchanged, that the rules keep."""
+    """The rows that the rules keep, without the lines that fail; all other columns stay unchanged, whatever their names.
+
+    Lines without a word stay where they are, so a text none of whose lines fails comes back as it was. Null and blank
+    texts fail the base test and go; repeated rows each get their verdict; an empty table stays empty. A text is judged
+    whole, however long, a batch's one behind the other.
+    """
     rules = rules or LineRules()
+    at = docs.columns.index(text_col)
 
     def make():
         def work(batch):
-            yield batch.filter(pa.array([judge(raw or b"", rules)[6] for raw in utf8(batch, text_col)]))
+            found = [judge(raw or b"", rules) for raw in utf8(batch, text_col)]
+            texts = batch.column(at).to_pylist()
+            cleaned = pa.array([f[10].decode("utf-8", "replace") if f[6] and f[8] else t for f, t in zip(found, texts, strict=True)], batch.schema.field(at).type)
+            yield batch.set_column(at, batch.schema.field(at), cleaned).filter(pa.array([f[6] for f in found], pa.bool_()))
 
         return work
 
