@@ -68,8 +68,15 @@ def statistics(raw: bytes | None) -> list[float]:
 
 @dataclass(frozen=True)
 class QDA:
+    """Class means, Cholesky factors of the shrunk covariances, and their inverses, all made once when fitted.
+
+    `temperature` divides the difference of log densities: the statistics are not independent given the class, so
+    that a Gaussian's densities overstate it, and divided scores stay away from 0 and 1.
+    """
+
     means: np.ndarray
     factors: np.ndarray
+    inverses: np.ndarray
     log_dets: np.ndarray
     log_priors: np.ndarray
     temperature: float
@@ -78,7 +85,7 @@ class QDA:
         """Probability of class 1, from the difference of the log densities."""
         log = []
         for k in (0, 1):
-            z = np.linalg.solve(self.factors[k], (x - self.means[k]).T)
+            z = self.inverses[k] @ (x - self.means[k]).T
             log.append(self.log_priors[k] - 0.5 * self.log_dets[k] - 0.5 * (z**2).sum(axis=0))
         return 1 / (1 + np.exp(-np.clip((log[1] - log[0]) / self.temperature, -500, 500)))
 
@@ -91,15 +98,16 @@ def fit_moments(n: np.ndarray, total: np.ndarray, cross: np.ndarray, to_pooled:
     scatter = np.stack([cross[k] - n[k] * np.outer(means[k], means[k]) for k in (0, 1)])
     d = total.shape[1]
     pooled = scatter.sum(axis=0) / max(n.sum() - 2, 1)
-    factors, dets = [], []
+    factors, inverses, dets = [], [], []
     for k in (0, 1):
         own = scatter[k] / max(n[k] - 1, 1)
         s = (1 - to_pooled) * own + to_pooled * pooled
         s = (1 - to_identity) * s + to_identity * max(np.trace(s) / d, 1e-6) * np.eye(d)
         chol = np.linalg.cholesky((s + s.T) / 2)
         factors.append(chol)
+        inverses.append(np.linalg.solve(chol, np.eye(d)))
         dets.append(2 * np.log(np.diag(chol)).sum())
-    return QDA(means, np.stack(factors), np.array(dets), np.log(n / n.sum()), temperature)
+    return QDA(means, np.stack(factors), np.stack(inverses), np.array(dets), np.log(n / n.sum()), temperature)
 
 
 def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,7 +167,9 @@ def quality(docs: DataFrame, labels: DataFrame, folds: int = 5, id_col: str = "d
     """Score every document; rows whose id's crc32 leaves 0 modulo `folds` are held out of fitting.
 
     Null and empty texts get the score of the empty text. Rows with a null id are scored, held_out is null
-    and they have no label. Repeated rows each give a row. Only id, text and label columns are read.
+    and they have no label. Repeated rows each give a row, an empty table gives none; labels of an id that several rows
+    have count for each of them. Without labels of both classes every score is 0.5. Only id, text and label columns
+    are read, so others may have any name. A text is read whole, in memory of a few times its size.
     """
     stats = document_statistics(docs, id_col, text_col)
     crc = F.crc32(labels[id_col].cast("string").cast("binary"))
