@@ -15,10 +15,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from ..functions.expr import condition
 from ..functions.types import field_type
 from ..model import Feature, duration_ms
+from . import hyperloglog
 
 T, SEQ, NOW = "_tr_t", "_tr_seq", "_tr_now"
 BUCKETS = 64
@@ -53,21 +55,24 @@ class Counts:
     A kind is a column of values that are counted where it is not null; equal columns share one. Values of a
     type lie in a column of their own. What a feature needs beside counts is made only if asked for: `rank_first` is a
     value's place in order of its first event, `rank_count` by count, `below` how many smaller or equal ones there are, and
-    `total` how many in all.
+    `total` how many in all. A kind may have a weight, an int of its events, of which each value keeps the greatest.
     """
 
-    KIND, N, FIRST = "_tr_kind", "_tr_n", "_tr_f"
+    KIND, N, FIRST, MOST = "_tr_kind", "_tr_n", "_tr_f", "_tr_m"
 
     def __init__(self, keys: list[str]):
         self.keys = keys
         self.kinds: dict[str, Column] = {}
+        self.weights: dict[str, Column] = {}
         self.wanted: dict[str, Callable[[], Column]] = {}
         self.needs: set[str] = set()
         self.slots: dict[str, str] = {}
 
-    def kind(self, x: Column) -> str:
+    def kind(self, x: Column, weight: Column | None = None) -> str:
         found = next((k for k, c in self.kinds.items() if str(c) == str(x)), f"k{len(self.kinds)}")
         self.kinds.setdefault(found, x)
+        if weight is not None:
+            self.weights[found] = weight
         return found
 
     def on(self, kind: str) -> Column:
@@ -95,18 +100,23 @@ class Counts:
         of = {names[t.simpleString()]: t for t in types}
 
         def row(k: str, x: Column) -> Column:
-            return F.struct(F.lit(int(k[1:])).alias(self.KIND), *[(x if v == self.slots[k] else F.lit(None).cast(of[v])).alias(v) for v in values])
+            own = [(x if v == self.slots[k] else F.lit(None).cast(of[v])).alias(v) for v in values]
+            return F.struct(F.lit(int(k[1:])).alias(self.KIND), *own, *weight(k))
+
+        def weight(k: str) -> list[Column]:
+            return [self.weights.get(k, F.lit(None)).cast("int").alias("_tr_weight")] if self.weights else []
 
         aggs = {name: make() for name, make in self.wanted.items()}
         first = [arrival.alias("_tr_arrival")] if "rank_first" in self.needs else []
         if len(kinds) == 1:
             (k, x), own = kinds[0], [F.col(f"`{c}`") for c in self.keys]
-            rows = df.filter(x.isNotNull()).select(*own, F.lit(0).alias(self.KIND), x.alias(self.slots[k]), *first)
+            rows = df.filter(x.isNotNull()).select(*own, F.lit(0).alias(self.KIND), x.alias(self.slots[k]), *first, *weight(k))
         else:
             each = F.filter(F.array(*[F.when(x.isNotNull(), row(k, x)) for k, x in kinds]), lambda e: e.isNotNull())
             rows = df.select(*[F.col(f"`{c}`") for c in self.keys], *first, F.explode(each).alias("_tr_e"))
             rows = rows.select(*[F.col(f"`{c}`") for c in self.keys], "_tr_e.*", *(["_tr_arrival"] if first else []))
-        counts = rows.groupBy(*self.keys, self.KIND, *values).agg(F.count("*").alias(self.N), *([F.min("_tr_arrival").alias(self.FIRST)] if first else []))
+        most = [F.max("_tr_weight").alias(self.MOST)] if self.weights else []
+        counts = rows.groupBy(*self.keys, self.KIND, *values).agg(F.count("*").alias(self.N), *([F.min("_tr_arrival").alias(self.FIRST)] if first else []), *most)
         whole = Window.partitionBy(*self.keys, self.KIND)
         made = {
             "rank_first": lambda: F.row_number().over(whole.orderBy(self.FIRST)),
@@ -122,8 +132,8 @@ class Counts:
 class Plan:
     """Columns by level, aggregates, results and side plans of one table."""
 
-    def __init__(self, keys: list[str], schema: dict[str, str]):
-        self.keys, self.schema = keys, schema
+    def __init__(self, keys: list[str], schema: dict[str, str], types: dict[str, DataType]):
+        self.keys, self.schema, self.types = keys, schema, types
         self.levels: list[dict[str, Column | Ordered]] = [{} for _ in range(9)]
         self.names: dict[tuple, str] = {}
         self.aggs: dict[str, Column] = {}
@@ -309,11 +319,16 @@ def _ratio(p, f):
 
 @op("n_unique")
 def _n_unique(p, f):
-    x = p.raw(f, True)
-    if f.params.get("approx"):
-        return p.total(("approx_unique", str(x)), lambda: F.approx_count_distinct(x, 0.016))
-
-    c, kind = p.counts, p.counts.kind(x)
+    x, c = p.raw(f, True), p.counts
+    if f.params.get("approx"):  # registers in use as rows, so no task holds all registers of many entities
+        h = p.column(2, ("hash", str(x)), lambda: hyperloglog.hashed(x, p.types.get(f.field)))
+        register = p.column(3, ("register", str(x)), lambda: F.when(x.isNotNull(), hyperloglog.register(h)))
+        kind = c.kind(register, p.column(3, ("height", str(x)), lambda: hyperloglog.height(h)))
+        used = c.put(lambda: F.count(F.when(c.on(kind), 1)))
+        total = c.put(lambda: F.sum(F.when(c.on(kind), hyperloglog.share(F.col(Counts.MOST)))))
+        return hyperloglog.estimate(F.coalesce(used, F.lit(0).cast("long")), F.coalesce(total, F.lit(0.0)))
+
+    kind = c.kind(x)
     return F.coalesce(c.put(lambda: F.count(F.when(c.on(kind), 1))), F.lit(0).cast("long"))
 
 

@@ -94,7 +94,7 @@ def feature_table(stream: Stream, keys: Sequence[str], features: dict[str, Featu
         df = df.filter(only)
     if source is not None and source.cold_after and (cold := duration_ms(source.cold_after)):
         df = last_session(ordered.add_parts(df, parts) if parts else df, own, cold, bool(parts))
-    p = Plan(own, known)
+    p = Plan(own, known, {c.name: c.dataType for c in df.schema.fields})
     results = {name: OPS[f.op](p, f) for name, f in features.items()}
     made = [c.value if isinstance(c, Ordered) else c for level in p.levels for c in level.values()]
     df = df.withColumn(NOW, now) if any(NOW in str(c) for c in [*p.aggs.values(), *made]) else df
